@@ -111,11 +111,15 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_IS_TERM = _IS_WORD.copy()
+_IS_TERM[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = False  # words without ASCII punctuation
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; no word crosses a row."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = _IS_WORD[data]
+    word = inside[data]
     before = np.concatenate(([False], word[:-1]))
     heads = offsets[:-1][offsets[:-1] < len(data)]
     before[heads] = False
@@ -124,11 +128,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z lower-cased) and, for each row, the index of its first word (one more at the end)."""
     if lower:
         data = _LOWER[data]
-    starts, ends = word_spans(data, offsets)
+    starts, ends = word_spans(data, offsets, _IS_TERM if terms else _IS_WORD)
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), first

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, quality
+from . import fingerprint, langid, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality.query,
+    "op4_language_id": langid.query,
+    "op5_secret_scan": secrets.query,
     "op6_mix_sources": mixing.query,
+    "op9_toxicity": toxicity.query,
     "op10_fingerprints": fingerprint.query,
 }
 
