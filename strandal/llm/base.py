@@ -90,8 +90,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -128,14 +128,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_W
     return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, from one running polynomial sum."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * _power("up", _BASE, len(data)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power("down", _BASE_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z lower-cased) and, for each row, the index of its first word (one more at the end)."""
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     starts, ends = word_spans(data, offsets, _IS_TERM if terms else _IS_WORD)
-    first = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _power("up", _BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", _BASE_INV, len(data))[starts] + (ends - starts).astype(np.uint64)), first
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, mixing, quality, secrets, toxicity
+from . import chat, fingerprint, langid, mixing, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
+    "op2_chat_format": chat.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": langid.query,
     "op5_secret_scan": secrets.query,
     "op6_mix_sources": mixing.query,
+    "op7_packing": packing.query,
+    "op8_warc_packages": warc.query,
     "op9_toxicity": toxicity.query,
     "op10_fingerprints": fingerprint.query,
 }
