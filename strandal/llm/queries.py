@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, mixing, packing, quality, secrets, toxicity, warc
+from . import chat, fingerprint, langid, mixing, packing, quality, secrets, similarity, toxicity, warc
 
 QUERIES = {
+    "op1_jaccard_join": similarity.query,
     "op2_chat_format": chat.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": langid.query,
