@@ -175,7 +175,7 @@ def _model(samples: dict[str, str]) -> Model:
     return _models[key]
 
 
-def _predict(batches, samples, text: str):
+def _predict(batches, samples, text: str, keep_text: bool):
     model = _model(samples.value)
     for batch in batches:
         texts = [t or "" for t in batch.column(text).to_pylist()]
@@ -198,20 +198,20 @@ def _predict(batches, samples, text: str):
                 scores.append(min(1.0, max(0.0, 1.0 - best / second)) if second else 0.0)
                 rates.append(best / len(t))
             at = to
-        keep = [c for c in batch.schema.names if c != text]
+        keep = [c for c in batch.schema.names if keep_text or c != text]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
             names=[*keep, "_l_lang", "_l_score", "_l_rate"],
         )
 
 
-def identify(df: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
-    """``df`` without its text, plus ``_l_lang``, ``_l_score`` (the lead over the runner-up, 0 to 1) and ``_l_rate`` (phrases a character)."""
+def identify(df: DataFrame, samples: dict[str, str], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df``, without its text unless that is to be kept, plus ``_l_lang``, ``_l_score`` (the lead over the runner-up, 0 to 1) and ``_l_rate`` (phrases a character)."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(samples)  # at most MOST_LANGUAGES * SAMPLE_CHARS characters
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
-    return df.mapInArrow(lambda it: _predict(it, shared, text), f"{head}, _l_lang string, _l_score double, _l_rate double")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text)
+    return df.mapInArrow(lambda it: _predict(it, shared, text, keep_text), f"{head}, _l_lang string, _l_score double, _l_rate double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -81,8 +81,8 @@ def _descend(df: DataFrame, size: str, source: str, left: dict, low: dict) -> di
     return found
 
 
-def mix(df: DataFrame, size: str, source: str, hash_of: list[str], weights=(1, 2, 3)) -> DataFrame:
-    """``df`` with ``_m_source_size``, ``_m_target`` and ``_m_copies`` (whole repeats of each row).
+def plan_mix(df: DataFrame, size: str, source: str, hash_of: list[str], weights=(1, 2, 3)) -> DataFrame:
+    """One row per source: its size, target, whole repeats and hash ranges. ``df`` needs sizes, not texts.
 
     Every row is taken ``target // size`` times, and rows in the source's hash ranges once more. The
     first range ends at the row that no longer fits; where what is left is over ``CLOSE`` of the
@@ -108,7 +108,12 @@ def mix(df: DataFrame, size: str, source: str, hash_of: list[str], weights=(1, 2
                 del low[k]
     span = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
     fields = [("_m_source_size", T.LongType()), ("_m_target", T.DoubleType()), ("_m_whole", T.LongType()), ("_m_ranges", span)]
-    plan = _table(df.sparkSession, [(k, totals[k], targets[k], whole[k], ranges[k]) for k in totals], fields)
+    return _table(df.sparkSession, [(k, totals[k], targets[k], whole[k], ranges[k]) for k in totals], fields)
+
+
+def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_of: list[str]) -> DataFrame:
+    """``df`` with ``_m_source_size``, ``_m_target`` and ``_m_copies`` (whole repeats of each row): a filter by hash."""
+    df = df.withColumn("_m_hash", F.xxhash64(*hash_of))
     out = df.join(plan, df[source].eqNullSafe(plan["_m_key"]), "left")
     cell = _cell(BITS * LEVELS)
     more = F.exists("_m_ranges", lambda r: (cell >= r["low"]) & (cell < r["high"])).cast("long")
@@ -125,5 +130,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
-    out = mix(sized, "size", "source", ["doc_id"])
+    out = apply_mix(sized, plan_mix(sized, "size", "source", ["doc_id"]), "source", ["doc_id"])
     return out.select("doc_id", "source", "size", F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), (F.col("size") * F.col("_m_copies")).alias("taken"), F.col("_m_copies").alias("copies"))
