@@ -25,6 +25,7 @@ FEATURES = 256
 GRADES = 3
 SAMPLE_ROWS = 8000
 LEAST_DOCS = 4
+BROADCAST_ROWS = 1_000_000  # of (key, label): 32 MB at most
 
 
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ship(docs.sparkSession)
     # one label for a key, so that repeated label rows don't multiply texts
     y = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_t_key")).agg(F.max(F.col(label).cast("int")).alias("_t_y"))
-    rows = docs.select(F.col(key).alias("_t_key"), F.col(text).alias("_t_text")).join(y, "_t_key").select(F.xxhash64("_t_key").alias("_t_h"), "_t_y", "_t_text")
+    y = stage(y, "tox-labels")
+    few = y.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # else labels and texts are both shuffled
+    rows = docs.select(F.col(key).alias("_t_key"), F.col(text).alias("_t_text")).join(F.broadcast(y) if few else y, "_t_key").select(F.xxhash64("_t_key").alias("_t_h"), "_t_y", "_t_text")
     bags = stage(rows.mapInArrow(_features, "h long, y int, f array<int>"), "tox")
     total = {r[0]: r[1] for r in bags.groupBy((F.col("y") > 0).alias("y")).count().collect()}
     if len(total) < 2:
