@@ -53,7 +53,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(column: pa.Array, most: int = 2 << 20):
+def slices(column: pa.Array, most: int = 1 << 20):
     """(first, last) row ranges of a string column with about ``most`` bytes each; a longer text is alone."""
     column = column if not pa.types.is_large_string(column.type) else column.cast(pa.string())
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -101,7 +101,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 21)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)

@@ -7,11 +7,21 @@ differences: in one of them linked sets are equal, and share that partition's si
 differences, partitions are split once more and all but one of the four parts are enumerated, which
 makes signatures longer. A set signs for every band in which the larger set of a linked pair may lie.
 
-Candidates come from stars: in each group of equal signatures every member meets the group's smallest.
-Odd sketches (parities of hashed elements, a lower bound of the difference) drop most false candidates
-without loss; the others' sets are intersected exactly. Where a group holds members that did not
-link to its smallest, the remaining pairs across components are tested too, block by block, so
-that no component is missed and no group is expanded into all of its pairs.
+Partitions that hold fewer than ``LEAST`` elements of a set say little, and common passages would fill such
+groups. The band has ``slack`` partitions more than needed, so a set leaves its thin partitions unsigned as long
+as those are at most ``slack``; whatever two linked sets agree in then holds a partition that both sign.
+
+Candidates come from stars: in each group of equal signatures every member meets the most central one, which
+shares most signatures with others. Odd sketches (parities of hashed elements, a lower bound of the
+difference) drop most false candidates without loss; the others' sets are intersected exactly.
+
+Groups in which some member did not link to the star have further pairs to test. Small groups are paired out,
+across components only. Large ones are not: there, each member is taken as its difference D from a made-up
+centre, the elements that most of a few members have. As ``|x ^ y| = |Dx ^ Dy|``, linked members share
+an element among the first few of Dx and Dy in any fixed order, with enough elements behind it (or their
+differences are so small that both lie close around the centre). Elements that the centre lacks come first,
+because members of a cluster share those it has. Members are joined on these few elements and positions only, so
+a thousand copies with edits of their own stay linear, and no link is lost, whatever the centre.
 
 Equal sets are one node throughout. Node ids are 64-bit hashes of sets, as are shingles.
 
@@ -21,6 +31,8 @@ equal sets and so one component. An empty table gives an empty result. Other col
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,8 +41,9 @@ from pyspark.sql import functions as F
 from .base import mix, ship, slices, stage, table, text_bytes, word_hashes
 from .components import components
 
-BLOCK = 128  # members of a signature group that meet all later ones in one round of the rest
-SLACK = 2  # partitions beyond the differences, for partitions that are empty
+SMALL = 16  # groups up to this size are paired out
+CENTRE_OF = 24  # members that a large group's centre is made of; any centre gives the same links
+LEAST = 3  # elements of a partition that is signed in any case
 SKETCH_MIN, SKETCH_MAX = 64, 16384
 BROADCAST_ROWS = 500_000  # of (doc_id, set id): 16 MB at most
 _U = np.uint64
@@ -50,10 +63,10 @@ class Bands:
     def plan(self, size: int) -> tuple[int, tuple[int, int, bool]]:
         while self.tops[-1] < size:
             low = self.tops[-1] + 1
-            top = max(low + 5, low * 3 // 2)
+            top = max(low + 5, low * 5 // 4)
             k = differences(top, self.percent)
             self.tops.append(top)
-            self.plans.append((k, k // 2 + 1, True) if k <= 9 else (k, k + 1 + SLACK + k // 32, False))
+            self.plans.append((k, k // 2 + 1, True) if k <= 9 else (k, k + 3 + k // 7, False))
         i = int(np.searchsorted(self.tops, size))
         return i, self.plans[i]
 
@@ -83,10 +96,13 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
             out.append(mix((sums.sum(1, dtype=np.uint64)[:, None] - sums).ravel() + salt[: 4 * parts]))
         else:
             sums, count = _combine(values, place, parts), np.bincount(place, minlength=parts)
-            out.append(mix(sums + salt[:parts])[count > 0])
-            # Linked sets agree in parts - k partitions or more. Unless that many are empty, one that
-            # is not empty is among them; else the band's mark for mostly empty sets joins them.
-            if (count == 0).sum() >= parts - k:
+            slack, least = parts - k - 1, LEAST
+            # Linked sets agree in more than `slack` partitions. If all those are thin, both sets have that
+            # many thin ones, and both sign the next thinner too; at last one mark for mostly empty sets.
+            while least > 1 and int((count < least).sum()) > slack:
+                least -= 1
+            out.append(mix(sums + salt[:parts])[count >= least])
+            if least == 1 and int((count == 0).sum()) > slack:
                 out.append(salt[-1:])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -204,63 +220,141 @@ def _linked(batches, percent: int):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def _centre(rows):
+    """The elements that more than half of the given members have."""
+    e, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["ve"]]), return_counts=True)
+    return rows[["u"]].head(1).assign(centre=e[2 * n > len(rows)].tobytes())
+
+
+def _difference_heads(batches, percent: int):
+    """The first elements of each member's difference D from its centre.
+
+    (centre, node, size of D, differences allowed, element, position, whether it is in the short head).
+    Of two linked members, the one with the smaller D has a shared element among its first k // 2 + 1, the other among
+    its first k + 1. Position -1 stands for members so close to the centre that no element need be shared.
+    """
+    for batch in batches:
+        out = [[] for _ in range(7)]
+        for c, x, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("centre"), batch.column("ve")):
+            centre, mine = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            extra, lost = np.setdiff1d(mine, centre, True), np.setdiff1d(centre, mine, True)
+            # no linked partner differs in more than this: sizes up to |x| * 100 / percent
+            k = (len(mine) + len(mine) * 100 // percent) * (100 - percent) // (100 + percent)
+            d = len(extra) + len(lost)
+            head = np.concatenate((extra, lost))[: k + 1].view(np.int64).tolist()
+            at = list(range(len(head)))
+            if d <= k:
+                head, at = [*head, 0], [*at, -1]
+            for column, v in zip(out, ([c] * len(at), [x] * len(at), [d] * len(at), [k] * len(at), head, at, [d <= k // 2 if i < 0 else i <= k // 2 for i in at])):
+                column += v
+        types = [*[pa.int64()] * 6, pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["c", "x", "d", "k", "e", "at", "short"])
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows while a stage with wide rows is written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Join:
     """One similarity join over a table of documents."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int):
         ship(docs.sparkSession)
         self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.spark = k, percent, docs.sparkSession
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         signed = self.docs.mapInArrow(lambda it: _sign(it, k, percent), f"doc_id {kind}, n_shingles long, node long, sigs array<long>, sketch binary")
         self.signed = stage(signed, "sim-signed")
         self.sketches = self.signed.where("sketch is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (u < v) of nodes that may link."""
+        """Those of the distinct pairs (u, v) of nodes that may link."""
         pairs = pairs.distinct()
         for side in "uv":
             pairs = pairs.join(self.sketches.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s")), side)
-        return stage(pairs.mapInArrow(lambda it, p=self.percent: _near(it, p), "u long, v long"), "sim-near")
+        with _batches_of(self.spark, 2000):
+            return stage(pairs.mapInArrow(lambda it, p=self.percent: _near(it, p), "u long, v long"), "sim-near")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that do link. Only texts of nodes in a pair are read into sets again."""
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, elements) of distinct nodes. Only their texts are made into sets again."""
         held = self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         wanted = stage(nodes.join(held, "node").select("doc_id", "node"), "sim-wanted")
         few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
-        sets = texts.mapInArrow(lambda it, k=self.k: _sets(it, k), "node long, elements binary").dropDuplicates(["node"])
-        sets = stage(sets, "sim-sets")
+        sets = texts.mapInArrow(lambda it, k=self.k: _sets(it, k), "node long, elements binary")
+        return stage(sets, "sim-sets").dropDuplicates(["node"])
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that do link."""
+        sets = self.sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
         for side in "uv":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"{side}e")), side)
-        return stage(pairs.mapInArrow(lambda it, p=self.percent: _linked(it, p), "u long, v long"), "sim-links")
+        with _batches_of(self.spark, 250):
+            return stage(pairs.mapInArrow(lambda it, p=self.percent: _linked(it, p), "u long, v long"), "sim-links")
 
     def labels(self) -> DataFrame:
         """(node, label) of every node that has a link: its component."""
         rows = self.signed.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
         group = Window.partitionBy("sig")
-        rows = rows.select("sig", "node", F.min("node").over(group).alias("star"), F.max("node").over(group).alias("top"), F.count("*").over(group).alias("n"))
-        rows = stage(rows.where("star <> top"), "sim-groups")  # at least two different sets
-        pairs = rows.where("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v"))
-        links = self.links(self.near(pairs))
+        rows = rows.select("sig", "node", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"), F.count("*").over(group).alias("n"))
+        rows = stage(rows.where("low <> high").select("sig", "node", "n"), "sim-groups")  # at least two different sets
+        weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
+        rows = rows.join(weight, "node").distinct()
+        rows = rows.withColumn("star", F.max(F.struct("w", "node")).over(group)["node"]).where("node <> star").select("sig", "node", "star", "n")
+        rows = stage(rows, "sim-stars")
+        links = self.links(self.near(rows.select(F.col("star").alias("u"), F.col("node").alias("v"))))
+        # Groups of three or more in which some member did not link to the star.
+        joined = rows.where("n > 2").join(links.select(F.col("u").alias("star"), F.col("v").alias("node"), F.lit(True).alias("ok")), ["star", "node"], "left")
+        open_ = joined.where("ok is null").select("sig").distinct()
         found = components(links)
-        # Groups in which some member did not link to the smallest, and which three or more share.
-        open_ = rows.where("n > 2 and node <> star").join(links, (F.col("star") == F.col("u")) & (F.col("node") == F.col("v")), "left_anti").select("sig").distinct()
-        rest = rows.where("node <> star and n > 2").select("sig", "node").join(open_, "sig", "left_semi").distinct()
-        rest = stage(rest.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("node"))), "sim-rest")
-        most = rest.agg(F.max("at")).first()[0] or 0
-        for low in range(0, most, BLOCK):
-            named = rest.join(found.withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
-            named = stage(named, "sim-named")
-            left = named.where((F.col("at") > low) & (F.col("at") <= low + BLOCK))
-            right = named.where(F.col("at") > low).select("sig", F.col("node").alias("v"), F.col("at").alias("bt"), F.col("l").alias("m"))
-            across = left.join(right, "sig").where("bt > at and l <> m").select(F.col("node").alias("u"), "v")
-            more = self.links(self.near(across))
-            if more.limit(1).count():
-                links = stage(links.unionByName(more), "sim-links")
-                found = components(links)
-        return found
+        rest = joined.join(open_, "sig", "left_semi").join(found.select("node", F.col("label").alias("l")), "node", "left")
+        rest = stage(rest.select("sig", "star", "node", "n", F.coalesce("l", "node").alias("l")), "sim-rest")
+        near = self.near(self.small_groups(rest))
+        large = self.large_groups(rest)
+        if large is not None:
+            near = near.unionByName(self.near(large)).distinct()
+        more = self.links(near)
+        if not more.limit(1).count():
+            return found
+        return components(links.unionByName(more))
+
+    def small_groups(self, rest: DataFrame) -> DataFrame:
+        """Pairs of different components within groups of at most ``SMALL``."""
+        small = rest.where(F.col("n") <= SMALL).select("sig", "node", "l").distinct()
+        other = small.select("sig", F.col("node").alias("v"), F.col("l").alias("m"))
+        return small.join(other, "sig").where("node < v and l <> m").select(F.col("node").alias("u"), "v")
+
+    def large_groups(self, rest: DataFrame) -> DataFrame | None:
+        """Pairs of different components within larger groups that share an element among the heads of their differences from the star."""
+        large = rest.where(F.col("n") > SMALL).select(F.col("star").alias("u"), F.col("node").alias("v")).distinct()
+        large = stage(large, "sim-large")
+        if not large.limit(1).count():
+            return None
+        sets = self.sets_of(large.select(F.col("v").alias("node")).distinct())
+        held = large.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("ve")), "v")
+        few = Window.partitionBy("u").orderBy(F.xxhash64("v"))
+        some = large.withColumn("at", F.row_number().over(few)).where(F.col("at") <= CENTRE_OF)
+        some = some.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("ve")), "v").select("u", "ve")
+        centres = stage(some.groupBy("u").applyInPandas(_centre, "u long, centre binary"), "sim-centres")
+        with _batches_of(self.spark, 250):
+            heads = held.join(centres, "u").mapInArrow(lambda it, p=self.percent: _difference_heads(it, p), "c long, x long, d long, k long, e long, at long, short boolean")
+            heads = stage(heads, "sim-heads")
+        heads = heads.join(rest.select(F.col("node").alias("x"), "l").distinct(), "x")
+        shared = Window.partitionBy("c", "e")
+        heads = heads.withColumn("many", F.count("*").over(shared)).where("many > 1").drop("many")
+        other = heads.select("c", "e", F.col("x").alias("y"), F.col("d").alias("f"), F.col("k").alias("h"), F.col("l").alias("m"), F.col("at").alias("bt"))
+        close = "at < 0 and bt < 0 and d + f <= least(k, h)"
+        ahead = "at >= 0 and bt >= 0 and 2 * least(d - at, f - bt) >= d + f - least(k, h)"
+        pairs = heads.where("short").join(other, ["c", "e"]).where(f"l <> m and (d < f or d = f and x <> y) and ({close} or {ahead})")
+        return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, the document itself included."""
