@@ -316,7 +316,9 @@ class Join:
         open_ = joined.where("ok is null").select("sig").distinct()
         found = components(links)
         rest = joined.join(open_, "sig", "left_semi").join(found.select("node", F.col("label").alias("l")), "node", "left")
-        rest = stage(rest.select("sig", "star", "node", "n", F.coalesce("l", "node").alias("l")), "sim-rest")
+        # stars of one component stand for one centre, so that a cluster's many groups share it
+        rest = rest.join(found.select(F.col("node").alias("star"), F.col("label").alias("c")), "star", "left")
+        rest = stage(rest.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", F.coalesce("l", "node").alias("l")), "sim-rest")
         near = self.near(self.small_groups(rest))
         large = self.large_groups(rest)
         if large is not None:
@@ -333,8 +335,8 @@ class Join:
         return small.join(other, "sig").where("node < v and l <> m").select(F.col("node").alias("u"), "v")
 
     def large_groups(self, rest: DataFrame) -> DataFrame | None:
-        """Pairs of different components within larger groups that share an element among the heads of their differences from the star."""
-        large = rest.where(F.col("n") > SMALL).select(F.col("star").alias("u"), F.col("node").alias("v")).distinct()
+        """Pairs of different components within larger groups that share an element among the heads of their differences from a centre."""
+        large = rest.where(F.col("n") > SMALL).select(F.col("c").alias("u"), F.col("node").alias("v")).distinct()
         large = stage(large, "sim-large")
         if not large.limit(1).count():
             return None
