@@ -53,6 +53,33 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``stage`` or ``new_path`` named, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Stages that are deleted together, once what was made of them is itself written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(self.spark, tag)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, tag: str = "") -> None:
+        """Delete the stages of a tag, or all."""
+        gone = [p for p in self.paths if not tag or f"/{tag}-" in p]
+        for p in gone:
+            drop_path(self.spark, p)
+        self.paths = [p for p in self.paths if p not in gone]
+
+
 def slices(column: pa.Array, most: int = 1 << 20):
     """(first, last) row ranges of a string column with about ``most`` bytes each; a longer text is alone."""
     column = column if not pa.types.is_large_string(column.type) else column.cast(pa.string())

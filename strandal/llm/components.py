@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stage
 
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stage, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each component, for every node that has an edge.
 
     ``edges`` has columns ``u`` and ``v`` of one ordered type; loops, repeats and nulls are ignored.
+    ``stage(df, tag)`` writes a table and reads it back.
     """
     now = stage(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "cc")
     before = None

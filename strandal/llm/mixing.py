@@ -20,6 +20,7 @@ from .base import SPACE, ship, stage, table
 BITS, LEVELS = 10, 4  # 1,024 buckets a level; thresholds of 40 bits
 MOST_REPEATS = 3
 RANGES, CLOSE = 4, 0.002
+BROADCAST_SOURCES = 100_000  # of some 200 bytes each
 
 
 def word_count(text: Column) -> Column:
@@ -121,9 +122,10 @@ def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_of: list[str]) -
 
 
 def _table(spark: SparkSession, rows: list[tuple], fields) -> DataFrame:
-    """One row per source: Spark may broadcast it when its size allows."""
+    """One row per source; broadcast up to a checked number of them, so that texts aren't shuffled."""
     schema = T.StructType([T.StructField("_m_key", T.StringType()), *[T.StructField(n, t) for n, t in fields]])
-    return spark.createDataFrame(rows, schema)
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= BROADCAST_SOURCES else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

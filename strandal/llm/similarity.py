@@ -38,11 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import mix, ship, slices, stage, table, text_bytes, word_hashes
+from .base import Scratch, mix, ship, slices, stage, table, text_bytes, word_hashes
 from .components import components
 
 SMALL = 16  # groups up to this size are paired out
 CENTRE_OF = 24  # members that a large group's centre is made of; any centre gives the same links
+COMMON_FROM, COMMON_MOST = 6, 200_000  # sampled sets that have a common element; the most such elements
 LEAST = 3  # elements of a partition that is signed in any case
 SKETCH_MIN, SKETCH_MAX = 64, 16384
 BROADCAST_ROWS = 500_000  # of (doc_id, set id): 16 MB at most
@@ -226,29 +227,37 @@ def _centre(rows):
     return rows[["u"]].head(1).assign(centre=e[2 * n > len(rows)].tobytes())
 
 
-def _difference_heads(batches, percent: int):
-    """The first elements of each member's difference D from its centre.
+def _elements(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("ve")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["e"])
+
+
+def _difference_heads(batches, percent: int, shared):
+    """The first elements of each member's difference D from its centre: rare ones, those common among members, those it lacks.
 
-    (centre, node, size of D, differences allowed, element, position, whether it is in the short head).
+    (centre, node, size of D, differences allowed, size of the set, element, position, whether it is in the short head).
     Of two linked members, the one with the smaller D has a shared element among its first k // 2 + 1, the other among
     its first k + 1. Position -1 stands for members so close to the centre that no element need be shared.
     """
+    common = shared.value
     for batch in batches:
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(8)]
         for c, x, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("centre"), batch.column("ve")):
             centre, mine = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             extra, lost = np.setdiff1d(mine, centre, True), np.setdiff1d(centre, mine, True)
             # no linked partner differs in more than this: sizes up to |x| * 100 / percent
             k = (len(mine) + len(mine) * 100 // percent) * (100 - percent) // (100 + percent)
             d = len(extra) + len(lost)
-            head = np.concatenate((extra, lost))[: k + 1].view(np.int64).tolist()
+            often = np.isin(extra, common)
+            head = np.concatenate((extra[~often], extra[often], lost))[: k + 1].view(np.int64).tolist()
             at = list(range(len(head)))
             if d <= k:
                 head, at = [*head, 0], [*at, -1]
-            for column, v in zip(out, ([c] * len(at), [x] * len(at), [d] * len(at), [k] * len(at), head, at, [d <= k // 2 if i < 0 else i <= k // 2 for i in at])):
+            for column, v in zip(out, ([c] * len(at), [x] * len(at), [d] * len(at), [k] * len(at), [len(mine)] * len(at), head, at, [d <= k // 2 if i < 0 else i <= k // 2 for i in at])):
                 column += v
-        types = [*[pa.int64()] * 6, pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["c", "x", "d", "k", "e", "at", "short"])
+        types = [*[pa.int64()] * 7, pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["c", "x", "d", "k", "size", "e", "at", "short"])
 
 
 @contextmanager
@@ -270,10 +279,14 @@ class Join:
         ship(docs.sparkSession)
         self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         self.k, self.percent, self.spark = k, percent, docs.sparkSession
+        self.scratch = Scratch(self.spark)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         signed = self.docs.mapInArrow(lambda it: _sign(it, k, percent), f"doc_id {kind}, n_shingles long, node long, sigs array<long>, sketch binary")
-        self.signed = stage(signed, "sim-signed")
-        self.sketches = self.signed.where("sketch is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
+        self.signed = self.scratch.stage(signed, "sim-signed")
+        self.sketches = self._sketches()
+
+    def _sketches(self) -> DataFrame:
+        return self.signed.where("sketch is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (u, v) of nodes that may link."""
@@ -281,16 +294,16 @@ class Join:
         for side in "uv":
             pairs = pairs.join(self.sketches.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s")), side)
         with _batches_of(self.spark, 2000):
-            return stage(pairs.mapInArrow(lambda it, p=self.percent: _near(it, p), "u long, v long"), "sim-near")
+            return self.scratch.stage(pairs.mapInArrow(lambda it, p=self.percent: _near(it, p), "u long, v long"), "sim-near")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, elements) of distinct nodes. Only their texts are made into sets again."""
         held = self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = stage(nodes.join(held, "node").select("doc_id", "node"), "sim-wanted")
+        wanted = self.scratch.stage(nodes.join(held, "node").select("doc_id", "node"), "sim-wanted")
         few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
         sets = texts.mapInArrow(lambda it, k=self.k: _sets(it, k), "node long, elements binary")
-        return stage(sets, "sim-sets").dropDuplicates(["node"])
+        return self.scratch.stage(sets, "sim-sets").dropDuplicates(["node"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that do link."""
@@ -298,27 +311,31 @@ class Join:
         for side in "uv":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"{side}e")), side)
         with _batches_of(self.spark, 250):
-            return stage(pairs.mapInArrow(lambda it, p=self.percent: _linked(it, p), "u long, v long"), "sim-links")
+            return self.scratch.stage(pairs.mapInArrow(lambda it, p=self.percent: _linked(it, p), "u long, v long"), "sim-links")
 
     def labels(self) -> DataFrame:
         """(node, label) of every node that has a link: its component."""
         rows = self.signed.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
         group = Window.partitionBy("sig")
         rows = rows.select("sig", "node", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"), F.count("*").over(group).alias("n"))
-        rows = stage(rows.where("low <> high").select("sig", "node", "n"), "sim-groups")  # at least two different sets
+        rows = self.scratch.stage(rows.where("low <> high").select("sig", "node", "n"), "sim-groups")  # at least two different sets
+        # signatures are done with: keep the narrow columns only
+        self.signed = self.scratch.stage(self.signed.drop("sigs"), "sim-docs")
+        self.sketches = self._sketches()
+        self.scratch.drop("sim-signed")
         weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
         rows = rows.join(weight, "node").distinct()
         rows = rows.withColumn("star", F.max(F.struct("w", "node")).over(group)["node"]).where("node <> star").select("sig", "node", "star", "n")
-        rows = stage(rows, "sim-stars")
+        rows = self.scratch.stage(rows, "sim-stars")
         links = self.links(self.near(rows.select(F.col("star").alias("u"), F.col("node").alias("v"))))
         # Groups of three or more in which some member did not link to the star.
         joined = rows.where("n > 2").join(links.select(F.col("u").alias("star"), F.col("v").alias("node"), F.lit(True).alias("ok")), ["star", "node"], "left")
         open_ = joined.where("ok is null").select("sig").distinct()
-        found = components(links)
+        found = components(links, self.scratch.stage)
         rest = joined.join(open_, "sig", "left_semi").join(found.select("node", F.col("label").alias("l")), "node", "left")
         # stars of one component stand for one centre, so that a cluster's many groups share it
         rest = rest.join(found.select(F.col("node").alias("star"), F.col("label").alias("c")), "star", "left")
-        rest = stage(rest.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", F.coalesce("l", "node").alias("l")), "sim-rest")
+        rest = self.scratch.stage(rest.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", F.coalesce("l", "node").alias("l")), "sim-rest")
         near = self.near(self.small_groups(rest))
         large = self.large_groups(rest)
         if large is not None:
@@ -326,7 +343,7 @@ class Join:
         more = self.links(near)
         if not more.limit(1).count():
             return found
-        return components(links.unionByName(more))
+        return components(links.unionByName(more), self.scratch.stage)
 
     def small_groups(self, rest: DataFrame) -> DataFrame:
         """Pairs of different components within groups of at most ``SMALL``."""
@@ -337,7 +354,7 @@ class Join:
     def large_groups(self, rest: DataFrame) -> DataFrame | None:
         """Pairs of different components within larger groups that share an element among the heads of their differences from a centre."""
         large = rest.where(F.col("n") > SMALL).select(F.col("c").alias("u"), F.col("node").alias("v")).distinct()
-        large = stage(large, "sim-large")
+        large = self.scratch.stage(large, "sim-large")
         if not large.limit(1).count():
             return None
         sets = self.sets_of(large.select(F.col("v").alias("node")).distinct())
@@ -345,25 +362,29 @@ class Join:
         few = Window.partitionBy("u").orderBy(F.xxhash64("v"))
         some = large.withColumn("at", F.row_number().over(few)).where(F.col("at") <= CENTRE_OF)
         some = some.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("ve")), "v").select("u", "ve")
-        centres = stage(some.groupBy("u").applyInPandas(_centre, "u long, centre binary"), "sim-centres")
+        centres = self.scratch.stage(some.groupBy("u").applyInPandas(_centre, "u long, centre binary"), "sim-centres")
+        # passages that many members share come late in the order; the table is bounded and any table gives the same links
+        often = some.mapInArrow(_elements, "e long").groupBy("e").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "e").limit(COMMON_MOST).collect()
+        common = self.spark.sparkContext.broadcast(np.sort(np.array([r.e for r in often], np.int64).view(np.uint64)))
         with _batches_of(self.spark, 250):
-            heads = held.join(centres, "u").mapInArrow(lambda it, p=self.percent: _difference_heads(it, p), "c long, x long, d long, k long, e long, at long, short boolean")
-            heads = stage(heads, "sim-heads")
+            heads = held.join(centres, "u").mapInArrow(lambda it, p=self.percent: _difference_heads(it, p, common), "c long, x long, d long, k long, size long, e long, at long, short boolean")
+            heads = self.scratch.stage(heads, "sim-heads")
         heads = heads.join(rest.select(F.col("node").alias("x"), "l").distinct(), "x")
         shared = Window.partitionBy("c", "e")
         heads = heads.withColumn("many", F.count("*").over(shared)).where("many > 1").drop("many")
-        other = heads.select("c", "e", F.col("x").alias("y"), F.col("d").alias("f"), F.col("k").alias("h"), F.col("l").alias("m"), F.col("at").alias("bt"))
-        close = "at < 0 and bt < 0 and d + f <= least(k, h)"
-        ahead = "at >= 0 and bt >= 0 and 2 * least(d - at, f - bt) >= d + f - least(k, h)"
+        other = heads.select("c", "e", F.col("x").alias("y"), F.col("d").alias("f"), F.col("size").alias("other"), F.col("l").alias("m"), F.col("at").alias("bt"))
+        most = f"floor((size + other) * {100 - self.percent} / {100 + self.percent})"  # differences of a linked pair
+        close = f"at < 0 and bt < 0 and d + f <= {most}"
+        ahead = f"at >= 0 and bt >= 0 and 2 * least(d - at, f - bt) >= d + f - {most}"
         pairs = heads.where("short").join(other, ["c", "e"]).where(f"l <> m and (d < f or d = f and x <> y) and ({close} or {ahead})")
         return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, the document itself included."""
-        names = stage(self.labels(), "sim-labels")
+        names = self.scratch.stage(self.labels(), "sim-labels")
         nodes = self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         nodes = nodes.join(names, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        nodes = stage(nodes, "sim-nodes")
+        nodes = self.scratch.stage(nodes, "sim-nodes")
         roots = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
         nodes = nodes.join(roots, "label").select("node", "component_id")
         docs = self.signed.select("doc_id", "n_shingles", "node").join(nodes, "node", "left")
@@ -371,7 +392,11 @@ class Join:
 
 
 def similarity_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    return Join(docs, key, text, k, percent).result()
+    """(doc_id, n_shingles, component_id) of every row, written; what was needed on the way is deleted."""
+    join = Join(docs, key, text, k, percent)
+    out = stage(join.result(), "sim-result")
+    join.scratch.drop()
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
