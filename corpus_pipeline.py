@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest id stays."""
-    groups = stage(similarity.similarity_groups(docs, k=5, percent=80), "pipe-groups")
+    groups = similarity.similarity_groups(docs, k=5, percent=80)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
