@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OK, EMPTY, OVERFLOW, UNDERFLOW = 0, -1, 0x10000, 0x10001
 _LITERAL = "^[+-]?(0x[0-9a-fA-F]+|[0-9]+(\\.[0-9]*)?([eE][+-]?[0-9]+)?)"
@@ -77,7 +78,7 @@ def stretch(data: Column, size: int, algorithm: str = "md5") -> Column:
     return F.substring(out, 1, size)
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(T.DecimalType(20, 0))
 def fnv64(data: pd.Series) -> pd.Series:
     """Multiply, then exclusive-or, over the bytes, in 64 bits; start and factor are those of the 32-bit FNV hash."""
     out = []
@@ -130,7 +131,7 @@ def decrypt(data: Column, key: Column, mode: str = "ECB", iv: Column | None = No
     return F.aes_decrypt(F.concat(iv, data, encrypt(pad, key, "CBC", last)), key, F.lit("CBC"), F.lit("PKCS"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def xor(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else (np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)[: len(x)]).tobytes() for x, y in zip(a, b)])
 
