@@ -63,12 +63,12 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 
 def paths_of(value, at: str = "") -> set[str]:
-    """Nested field paths with a value; list elements share the path ``name[]``."""
+    """Nested field paths; list elements share the path ``name[]``; a path that is null ends in ``?``."""
     if isinstance(value, dict):
-        return set().union(*(paths_of(v, f"{at}.{k}" if at else str(k)) for k, v in value.items() if v is not None)) if value else set()
+        return set().union(*(paths_of(v, f"{at}.{k}" if at else str(k)) for k, v in value.items()))
     if isinstance(value, list):
         return set().union({f"{at}[]"}, *(paths_of(v, f"{at}[]") for v in value))
-    return {at} if value is not None else set()
+    return {at if value is not None else f"{at}?"} if at else set()
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -76,7 +76,9 @@ def fingerprint(paths: set[str]) -> str:
 
 
 def choose(paths: set[str]) -> Layout | None:
-    return next((x for x in LAYOUTS if x.needs <= paths), None)
+    """The first layout whose paths have values, else the first whose paths are there at all."""
+    every = {p.removesuffix("?") for p in paths}
+    return next((x for x in LAYOUTS if x.needs <= paths), None) or next((x for x in LAYOUTS if x.needs <= every), None)
 
 
 def _at(value, path: str):
