@@ -249,7 +249,8 @@ def _difference_heads(batches, percent: int, shared):
             # no linked partner differs in more than this: sizes up to |x| * 100 / percent
             k = (len(mine) + len(mine) * 100 // percent) * (100 - percent) // (100 + percent)
             d = len(extra) + len(lost)
-            often = np.isin(extra, common)
+            at = np.minimum(np.searchsorted(common, extra), max(len(common) - 1, 0))
+            often = common[at] == extra if len(common) else np.zeros(len(extra), bool)
             head = np.concatenate((extra[~often], extra[often], lost))[: k + 1].view(np.int64).tolist()
             at = list(range(len(head)))
             if d <= k:
