@@ -46,6 +46,7 @@ CENTRE_OF = 24  # members that a large group's centre is made of; any centre giv
 COMMON_FROM, COMMON_MOST = 6, 200_000  # sampled sets that have a common element; the most such elements
 LEAST = 3  # elements of a partition that is signed in any case
 SKETCH_MIN, SKETCH_MAX = 64, 16384
+HEAD_ROWS = 50_000  # of differences in one Arrow batch, 3 MB
 BROADCAST_ROWS = 500_000  # of (doc_id, set id): 16 MB at most
 _U = np.uint64
 
@@ -241,8 +242,14 @@ def _difference_heads(batches, percent: int, shared):
     its first k + 1. Position -1 stands for members so close to the centre that no element need be shared.
     """
     common = shared.value
+    types = [*[pa.int64()] * 7, pa.bool_()]
+    names = ["c", "x", "d", "k", "size", "e", "at", "short"]
+    held, rows = [], 0
+
+    def block():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), t) for v, t in zip(zip(*held), types)], names=names)
+
     for batch in batches:
-        out = [[] for _ in range(8)]
         for c, x, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("centre"), batch.column("ve")):
             centre, mine = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             extra, lost = np.setdiff1d(mine, centre, True), np.setdiff1d(centre, mine, True)
@@ -251,14 +258,18 @@ def _difference_heads(batches, percent: int, shared):
             d = len(extra) + len(lost)
             at = np.minimum(np.searchsorted(common, extra), max(len(common) - 1, 0))
             often = common[at] == extra if len(common) else np.zeros(len(extra), bool)
-            head = np.concatenate((extra[~often], extra[often], lost))[: k + 1].view(np.int64).tolist()
-            at = list(range(len(head)))
+            head = np.concatenate((extra[~often], extra[often], lost))[: k + 1].view(np.int64)
+            at = np.arange(len(head))
+            short = at <= k // 2
             if d <= k:
-                head, at = [*head, 0], [*at, -1]
-            for column, v in zip(out, ([c] * len(at), [x] * len(at), [d] * len(at), [k] * len(at), [len(mine)] * len(at), head, at, [d <= k // 2 if i < 0 else i <= k // 2 for i in at])):
-                column += v
-        types = [*[pa.int64()] * 7, pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["c", "x", "d", "k", "size", "e", "at", "short"])
+                head, at, short = np.append(head, 0), np.append(at, -1), np.append(short, d <= k // 2)
+            held.append((*(np.full(len(at), v) for v in (c, x, d, k, len(mine))), head, at, short))
+            rows += len(at)
+            if rows >= HEAD_ROWS:
+                yield block()
+                held, rows = [], 0
+    if held:
+        yield block()
 
 
 @contextmanager
