@@ -46,6 +46,7 @@ CENTRE_OF = 24  # members that a large group's centre is made of; any centre giv
 COMMON_FROM, COMMON_MOST = 6, 200_000  # sampled sets that have a common element; the most such elements
 LEAST = 3  # elements of a partition that is signed in any case
 SKETCH_MIN, SKETCH_MAX = 64, 16384
+BATCH_BYTES = 4 << 20  # of an Arrow batch; one wider row is alone
 HEAD_ROWS = 50_000  # of differences in one Arrow batch, 3 MB
 BROADCAST_ROWS = 500_000  # of (doc_id, set id): 16 MB at most
 _U = np.uint64
@@ -167,8 +168,8 @@ def _sign(batches, k: int, percent: int):
             ids, sets = batch.column(0), shingle_sets(batch.column(1), k)
             for at in range(0, len(ids), 1000):
                 part = ids.slice(at, 1000)
-                n, node, sigs, sketches = [], [], [], []
-                for _ in range(len(part)):
+                n, node, sigs, sketches, done, wide = [], [], [], [], 0, 0
+                for i in range(len(part)):
                     e = next(sets)
                     me = set_id(e) if len(e) else None
                     n.append(len(e))
@@ -180,7 +181,12 @@ def _sign(batches, k: int, percent: int):
                         seen.add(me)
                         sigs.append(signatures(e, bands).view(np.int64))
                         sketches.append(sketch(e))
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "sigs", "sketch"])
+                        wide += sigs[-1].nbytes + len(sketches[-1])
+                    if wide < BATCH_BYTES and i + 1 < len(part):
+                        continue
+                    rows = [part.slice(done, len(n)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "n_shingles", "node", "sigs", "sketch"])
+                    n, node, sigs, sketches, done, wide = [], [], [], [], i + 1, 0
 
 
 def _near(batches, percent: int):
@@ -199,14 +205,17 @@ def _sets(batches, k: int):
     with np.errstate(over="ignore"):
         for batch in batches:
             sets = shingle_sets(batch.column(1), k)
-            for at in range(0, batch.num_rows, 500):
-                want, nodes, out = batch.column(0).slice(at, 500).to_pylist(), [], []
-                for w in want:
-                    e = next(sets)
-                    if len(e) and set_id(e) == w:
-                        nodes.append(w)
-                        out.append(e.tobytes())
+            nodes, out, wide = [], [], 0
+            for i, w in enumerate(batch.column(0).to_pylist()):
+                e = next(sets)
+                if len(e) and set_id(e) == w:
+                    nodes.append(w)
+                    out.append(e.tobytes())
+                    wide += e.nbytes
+                if wide < BATCH_BYTES and i + 1 < batch.num_rows:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "elements"])
+                nodes, out, wide = [], [], 0
 
 
 def _linked(batches, percent: int):
@@ -274,14 +283,16 @@ def _difference_heads(batches, percent: int, shared):
 
 @contextmanager
 def _batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows while a stage with wide rows is written."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """Arrow batches of at most ``rows`` rows and about ``BATCH_BYTES`` while a stage with wide rows is written."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Join:
@@ -294,7 +305,8 @@ class Join:
         self.scratch = Scratch(self.spark)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         signed = self.docs.mapInArrow(lambda it: _sign(it, k, percent), f"doc_id {kind}, n_shingles long, node long, sigs array<long>, sketch binary")
-        self.signed = self.scratch.stage(signed, "sim-signed")
+        with _batches_of(self.spark, 10_000):
+            self.signed = self.scratch.stage(signed, "sim-signed")
         self.sketches = self._sketches()
 
     def _sketches(self) -> DataFrame:
@@ -315,7 +327,8 @@ class Join:
         few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
         sets = texts.mapInArrow(lambda it, k=self.k: _sets(it, k), "node long, elements binary")
-        return self.scratch.stage(sets, "sim-sets").dropDuplicates(["node"])
+        with _batches_of(self.spark, 10_000):
+            return self.scratch.stage(sets, "sim-sets").dropDuplicates(["node"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that do link."""
