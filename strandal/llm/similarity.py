@@ -315,7 +315,7 @@ class Join:
         few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
         sets = texts.mapInArrow(lambda it, k=self.k: _sets(it, k), "node long, elements binary")
-        return self.scratch.stage(sets, "sim-sets").dropDuplicates(["node"])
+        return self.scratch.stage(sets.dropDuplicates(["node"]), "sim-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that do link."""
