@@ -243,6 +243,22 @@ def test_toxicity(spark):
     assert toxicity.train(docs, labels.limit(0)) is None and toxicity.score(docs, None).count() == 202
 
 
+def test_toxicity_of_rare_words(spark):
+    rng = random.Random(8)
+    texts, toxic = [], []
+    for i in range(800):
+        kind = i % 8  # 0: words of many toxic texts; 1: one of 12 words with few texts each
+        more = " vile scum filth rot vermin swine crud muck slime" if kind == 0 else f" malo{i // 8 % 12}" if kind == 1 else ""
+        texts.append(" ".join(rng.choices(WORDS[:300], k=30)) + more)
+        toxic.append(int(kind < 2))
+    docs = docs_of(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(list(enumerate(toxic))[:600], "doc_id long, toxic int"))
+    got = {r.doc_id: r["_t_p"] >= model[3] for r in toxicity.score(docs, model).collect()}
+    rare = [got[i] for i in range(600, 800) if i % 8 == 1]
+    assert sum(rare) >= 0.8 * len(rare)
+    assert sum(got[i] for i in range(600, 800) if i % 8 > 1) <= 8
+
+
 def test_fingerprints(spark):
     texts = [None, "", " \n", "Straße  X", "STRASSE x", "ﬁne", "fine\n", "é", "é", "other"]
     df = docs_of(spark, texts).withColumn("p", fingerprint.digest(fingerprint.canonical(F.col("text"))))
