@@ -1,8 +1,9 @@
 """Canonical exact fingerprints of documents, in built-in expressions only.
 
 A text is normalised (NFKC), case-folded and stripped of white-space differences; two seeded 64-bit
-xxhashes of the result make a 128-bit bucket, and within a bucket of several rows the canonical bytes
-themselves are compared. Spark has no normaliser among its SQL functions, so the ICU library that it
+xxhashes of the result make a 128-bit bucket (the fingerprint), and within a bucket of several rows the
+canonical bytes themselves are compared: ``first_id``, the smallest key of a row's class of equal texts,
+and ``copies``, the rows of that class, tell texts apart that share a bucket. Spark has no normaliser among its SQL functions, so the ICU library that it
 ships is called by ``java_method``, inside the JVM.
 
 A null text counts as empty. Texts of white space alone are equal to the empty one. Repeated rows get
@@ -14,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import stage, table
+
+BROADCAST_ROWS = 1_000_000  # of buckets: about 100 MB at most; beyond that, both sides are shuffled
 
 _ICU = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
@@ -32,19 +35,47 @@ def digest(canon: Column) -> Column:
     return F.concat(part(1), part(2))
 
 
-def groups(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, first_key, copies) of every row whose canonical text occurs more than once.
+def _behind_count(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
+def classes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(_f_digest, _f_canon, first_key, copies, _f_kinds) of each class of equal texts in buckets of two or more rows.
 
     Buckets are counted on digests alone; only rows of buckets with two or more bring their bytes,
     and they are grouped by those bytes, so a hash collision never joins two texts. Both groupings
     combine on the map side, so a third of all rows in one bucket costs one row per task.
+    ``_f_kinds`` is the number of a bucket's classes; where it is 1, ``_f_canon`` is null.
     """
     hashed = df.select(F.col(key).alias("_f_key"), canonical(F.col(text)).alias("_f_canon")).withColumn("_f_digest", digest(F.col("_f_canon")))
-    busy = hashed.groupBy("_f_digest").agg(F.count("*").alias("_f_n")).where("_f_n > 1").select("_f_digest")
-    rows = hashed.join(busy, "_f_digest", "left_semi")
+    busy = stage(hashed.groupBy("_f_digest").agg(F.count("*").alias("_f_n")).where("_f_n > 1").select("_f_digest"), "fp-busy")
+    rows = hashed.join(_behind_count(busy), "_f_digest", "left_semi")
     # a class: digest and bytes; the bytes are the map-side key's tail, so equal texts meet once per task
-    classes = rows.groupBy("_f_digest", "_f_canon").agg(F.min("_f_key").alias("first_key"), F.count("*").alias("copies"))
-    return rows.join(classes, ["_f_digest", "_f_canon"]).where("copies > 1").select(F.col("_f_key").alias(key), "first_key", "copies")
+    found = rows.groupBy("_f_digest", "_f_canon").agg(F.min("_f_key").alias("first_key"), F.count("*").alias("copies"))
+    # a bucket has one row here unless two texts collide
+    found = found.withColumn("_f_kinds", F.count("*").over(Window.partitionBy("_f_digest")))
+    return stage(found.withColumn("_f_canon", F.when(F.col("_f_kinds") > 1, F.col("_f_canon"))), "fp-classes")
+
+
+def with_class(hashed: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Rows that have ``_f_digest`` and ``_f_canon``, plus first_key and copies, without those two."""
+    one, more = found.where("_f_kinds = 1").drop("_f_canon", "_f_kinds"), found.where("_f_kinds > 1").drop("_f_kinds")
+    if more.limit(1).count():  # only then rows bring their bytes
+        more = more.withColumnRenamed("first_key", "_f_first").withColumnRenamed("copies", "_f_copies")
+        hashed = hashed.join(more, ["_f_digest", "_f_canon"], "left").drop("_f_canon")
+    else:
+        hashed = hashed.drop("_f_canon").withColumns({"_f_first": F.lit(None).cast(found.schema["first_key"].dataType), "_f_copies": F.lit(None).cast("long")})
+    out = hashed.join(_behind_count(one), "_f_digest", "left")
+    copies = F.coalesce("_f_copies", "copies", F.lit(1).cast("long"))
+    # a text that occurs once is its own class
+    first = F.when(F.coalesce("_f_copies", "copies").isNull(), F.col(key)).otherwise(F.coalesce("_f_first", "first_key"))
+    return out.withColumns({"first_key": first, "copies": copies}).drop("_f_first", "_f_copies", "_f_digest")
+
+
+def groups(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, first_key, copies) of every row whose canonical text occurs more than once."""
+    hashed = df.select(F.col(key), canonical(F.col(text)).alias("_f_canon")).withColumn("_f_digest", digest(F.col("_f_canon")))
+    return with_class(hashed, classes(df, key, text), key).where("copies > 1").select(key, "first_key", "copies")
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,7 +106,9 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = classes(docs, "doc_id", "text")
+    df = with_next(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
@@ -83,4 +116,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("_a"), canonical(edited).alias("_b"), canonical(F.col("_f_next")).alias("_c"))
     df = df.withColumns({"fingerprint": digest(F.col("_a")), "edited_fingerprint": digest(F.col("_b")), "next_fingerprint": digest(F.col("_c"))})
     like = lambda other, canon: ((F.col("fingerprint") == F.col(other)) & (F.col("_a") == F.col(canon))).cast("double")
-    return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint", "_b").alias("near_edited"), like("next_fingerprint", "_c").alias("near_next"))
+    df = df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint", "_b").alias("near_edited"), like("next_fingerprint", "_c").alias("near_next"), F.col("fingerprint").alias("_f_digest"), F.col("_a").alias("_f_canon"))
+    return with_class(df, found, "doc_id").withColumnRenamed("first_key", "first_id")

@@ -269,3 +269,13 @@ def test_fingerprints(spark):
     chain = {r.doc_id: r["_f_next"] for r in fingerprint.with_next(docs_of(spark, ["a", "b", "c"]).select("doc_id", "text"), "doc_id", "text").collect()}
     assert chain == {2: "b", 1: "a", 0: "c"}
     assert fingerprint.with_next(docs_of(spark, []).select("doc_id", "text"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_fingerprint_query_groups_copies(spark, tmp_path, monkeypatch, collide):
+    if collide:  # all texts in one bucket
+        monkeypatch.setattr(fingerprint, "digest", lambda canon: F.lpad(F.substring(canon, 1, 0), 32, "0"))
+    texts = ["one", "Two", "TWO ", "three", None, "", "two"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.first_id, r.copies) for r in fingerprint.query(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 1), 1: (1, 3), 2: (1, 3), 3: (3, 1), 4: (4, 2), 5: (4, 2), 6: (1, 3)}
