@@ -106,7 +106,8 @@ def turns_of(record, known: dict[str, Layout | None]) -> tuple[str, str | None,
     out: list[tuple[str, str]] = []
     for role, path in layout.turns:
         text = _at(record, path)
-        if isinstance(text, str):
+        if text is not None:
+            text = text if isinstance(text, str) else json.dumps(text)
             if role.endswith("+") and out:
                 out[-1] = (out[-1][0], out[-1][1] + ("\n\n" + text if text else ""))
             else:

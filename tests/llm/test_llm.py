@@ -279,3 +279,9 @@ def test_fingerprint_query_groups_copies(spark, tmp_path, monkeypatch, collide):
     docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.first_id, r.copies) for r in fingerprint.query(spark, str(tmp_path)).collect()}
     assert got == {0: (0, 1), 1: (1, 3), 2: (1, 3), 3: (3, 1), 4: (4, 2), 5: (4, 2), 6: (1, 3)}
+
+
+def test_chat_values_that_are_no_strings():
+    turns = lambda r: chat.turns_of(r, {})[2]
+    assert turns({"instruction": "2+2?", "input": None, "output": 4}) == [("user", "2+2?"), ("assistant", "4")]
+    assert turns({"prompt": "p", "completion": {"a": [1, False]}}) == [("user", "p"), ("assistant", '{"a": [1, false]}')]
