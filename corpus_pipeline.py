@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 from strandal.llm import langid, mixing, packing, secrets, similarity
 from strandal.llm.base import new_path, stage, table
 
-#: A text whose best language leads the runner-up by less than this share of phrases is in no one language.
-LEAST_LEAD = 0.02
 #: Rows of document ids that may be broadcast: 32 MB at most. Beyond that, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without an identifiable language go."""
+    """Texts without a letter have no identifiable language and go; a close lead is no reason, as short texts have few phrases."""
     samples = langid.learn(langid.training_rows(docs), "text", "lang", "doc_id")
     found = langid.identify(docs, samples, keep_text=True)
-    return found.where((F.col("_l_lang") != "und") & (F.col("_l_score") >= LEAST_LEAD)).select(*docs.columns)
+    return found.where(F.col("_l_lang") != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,3 +285,11 @@ def test_chat_values_that_are_no_strings():
     turns = lambda r: chat.turns_of(r, {})[2]
     assert turns({"instruction": "2+2?", "input": None, "output": 4}) == [("user", "2+2?"), ("assistant", "4")]
     assert turns({"prompt": "p", "completion": {"a": [1, False]}}) == [("user", "p"), ("assistant", '{"a": [1, false]}')]
+
+
+def test_pipeline_keeps_texts_with_a_close_lead(spark):
+    import corpus_pipeline
+
+    rows = [(i, "the cat sat", "ab"[i % 2], "s", 11, 1, "x") for i in range(20)] + [(20, "A.", "a", "s", 2, 1, "x"), (21, "1 2", "a", "s", 3, 1, "x")]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, EMPTY), "").collect()
+    assert {r.doc_id for r in got} == set(range(21))
