@@ -1,53 +1,64 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups that its links form.
 
 A document is the set of its k-word shingles; two link when 100 |A & B| >= percent |A | B|. Linked sets of
-sizes up to M differ in at most ``2 M (100 - percent) / (100 + percent)`` elements. So sizes are cut
-into bands, and in each band the element domain is hashed into more partitions than a pair may have
-differences: in one of them linked sets are equal, and share that partition's signature. In bands with few
-differences, partitions are split once more and all but one of the four parts are enumerated, which
-makes signatures longer. A set signs for every band in which the larger set of a linked pair may lie.
-
-Partitions that hold fewer than ``LEAST`` elements of a set say little, and common passages would fill such
-groups. The band has ``slack`` partitions more than needed, so a set leaves its thin partitions unsigned as long
-as those are at most ``slack``; whatever two linked sets agree in then holds a partition that both sign.
-
-Candidates come from stars: in each group of equal signatures every member meets the most central one, which
-shares most signatures with others. Odd sketches (parities of hashed elements, a lower bound of the
-difference) drop most false candidates without loss; the others' sets are intersected exactly.
-
-Groups in which some member did not link to the star have further pairs to test. Small groups are paired out,
-across components only. Large ones are not: there, each member is taken as its difference D from a made-up
-centre, the elements that most of a few members have. As ``|x ^ y| = |Dx ^ Dy|``, linked members share
-an element among the first few of Dx and Dy in any fixed order, with enough elements behind it (or their
-differences are so small that both lie close around the centre). Elements that the centre lacks come first,
-because members of a cluster share those it has. Members are joined on these few elements and positions only, so
-a thousand copies with edits of their own stay linear, and no link is lost, whatever the centre.
-
-Equal sets are one node throughout. Node ids are 64-bit hashes of sets, as are shingles.
-
-A null or empty text, or one without words, has no shingles and links with nothing. Repeated rows are
-equal sets and so one component. An empty table gives an empty result. Other columns are not read.
+sizes up to M differ in at most ``k = 2 M (100 - percent) / (100 + percent)`` elements. Sizes are cut into
+bands, and a set signs for every band in which the larger set of a linked pair may lie. In each band the
+element domain is hashed into ``n1`` partitions, of which one at least holds at most ``k2`` of the
+differences; that partition is split into ``n2`` cells, and all subsets of ``n2 - k2`` of them are
+enumerated. One subset has no difference, so linked sets share its signature. ``plan`` chooses (n1, k2, n2)
+by k: one partition for up to three differences, else partitions with one difference each.
+
+Subsets that hold fewer than ``LEAST`` elements of a set say little, and common passages would fill such
+groups. A band has ``slack`` partitions more than needed, so ``slack + 1`` of them meet the rule, and a set
+leaves thin subsets unsigned as long as they lie in at most ``slack`` partitions (see ``signatures``).
+
+A signature's rows are counted first, with sums on the map side; only those of signatures held twice are joined
+with that count, so that a signature of a third of all documents is split over tasks like any skewed
+join. Candidates come from stars: in each group of equal signatures every member meets the most central one,
+which shares most signatures with others. Odd sketches (parities of hashed elements, a lower bound of the
+difference) drop most false candidates without loss; the others' sets are intersected exactly, first one
+star for each document, then only candidates that are still in different components.
+
+Groups that hold several components have further pairs to test. Small groups are paired out, across
+components only. Large ones are not: there, each member is taken as its difference D from a made-up
+centre, the elements that most of a few members have. As ``|x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|``, members that
+are close enough to the centre together link for certain; all such links of a group (and, with a bonus, of the
+members that share an element of D) are links with its closest member, one row each. Other linked members
+share an element among the first few of Dx and Dy in any fixed order, with enough elements behind it. Elements
+that the centre lacks come first, because members of a cluster share those it has. Only members without a
+certain link are joined on these elements and positions, across components; no link is lost, whatever the
+centre. Members that share rare elements and still lie just below the threshold are compared pair by pair.
+
+Equal sets are one node throughout. Node ids are 64-bit hashes of sets, as are shingles: n different sets
+bring n**2 / 2**65 false merges, one in a thousand runs at a hundred million sets.
+
+A null or empty text, or one without words, has no shingles and links with nothing; very long texts are
+worked whole, one at a time. Repeated rows are equal sets and so one component. A null key keeps its links but
+names no component; a component of null keys alone has a null id. An empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, mix, ship, slices, stage, table, text_bytes, word_hashes
+from .base import Scratch, mix, session_conf, ship, slices, stage, table, text_bytes, tidy, word_hashes
 from .components import components
 
 SMALL = 16  # groups up to this size are paired out
 CENTRE_OF = 24  # members that a large group's centre is made of; any centre gives the same links
 COMMON_FROM, COMMON_MOST = 6, 200_000  # sampled sets that have a common element; the most such elements
-LEAST = 3  # elements of a partition that is signed in any case
+LEAST = 2  # elements of a subset that is signed in any case
 SKETCH_MIN, SKETCH_MAX = 64, 16384
 HEAD_ROWS = 50_000  # of differences in one Arrow batch, 3 MB
-BROADCAST_ROWS = 500_000  # of (doc_id, set id): 16 MB at most
+TEXT_ROWS = 1000  # of texts in one Arrow batch
+BROADCAST_ROWS = 500_000  # of (row hash, set id): 16 MB at most
 _U = np.uint64
 
 
@@ -56,56 +67,69 @@ def differences(size: int, percent: int) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
+@lru_cache(None)
+def left_out(n2: int, k2: int) -> np.ndarray:
+    """All choices of the ``k2`` cells that a subset leaves out."""
+    return np.array(list(combinations(range(n2), k2)), np.int64)
+
+
 class Bands:
-    """Size bands and each band's (differences, first-level partitions, whether they are split)."""
+    """Size bands and each band's (differences, first-level partitions, slack, cells, cells left out)."""
 
     def __init__(self, percent: int):
-        self.percent, self.tops, self.plans = percent, [0], [(0, 0, False)]
+        self.percent, self.tops, self.plans = percent, [0], [(0, 0, 0, 0, 0)]
 
-    def plan(self, size: int) -> tuple[int, tuple[int, int, bool]]:
+    def plan(self, size: int) -> tuple[int, tuple[int, int, int, int, int]]:
         while self.tops[-1] < size:
             low = self.tops[-1] + 1
             top = max(low + 5, low * 5 // 4)
             k = differences(top, self.percent)
             self.tops.append(top)
-            self.plans.append((k, k // 2 + 1, True) if k <= 9 else (k, k + 3 + k // 7, False))
+            if k <= 3:
+                self.plans.append((k, 1, 0, k + 3, k))
+            else:  # of k // 2 + 1 partitions one has at most one difference
+                slack = 1 + k // 14
+                self.plans.append((k, k // 2 + 1 + slack, slack, 4 if k <= 9 else 3, 1))
         i = int(np.searchsorted(self.tops, size))
         return i, self.plans[i]
 
 
-def _combine(x: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """Sums modulo 2**64 of ``x`` by group."""
-    out = np.zeros(n, np.uint64)
-    np.add.at(out, groups, x)
-    return out
-
-
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """The PartEnum signatures of one set of hashed elements."""
+    """The PartEnum signatures of one set of hashed elements.
+
+    Of linked sets, ``slack + 1`` partitions each have a subset of cells in which both are equal. A set
+    signs subsets of at least ``least`` elements, where ``least`` falls from ``LEAST`` until the partitions
+    that hold a thinner subset are at most ``slack``. So of the set with the larger ``least`` some common
+    subset is signed, and then by the other too. Where even empty subsets lie in more partitions, one mark
+    stands for all of those sets.
+    """
     n, out = len(elements), []
     first, _ = bands.plan(n)
     last, _ = bands.plan(n * 100 // bands.percent)
     values = mix(elements ^ _U(0xA5A5A5A5A5A5A5A5))
-    high = elements >> _U(32)
+    high, low = elements >> _U(32), elements & _U(0xFFFFFFFF)
     for band in range(first, last + 1):
-        k, parts, split = bands.plans[band]
+        k, parts, slack, cells, fewer = bands.plans[band]
         if k == 0:
             continue  # only equal sets link, and they are one node
-        place = ((high * _U(parts)) >> _U(32)).astype(np.int64)
-        salt = mix(np.arange(1, 4 * parts + 2, dtype=np.uint64) + _U(band << 32))
-        if split:
-            sums = _combine(values, place * 4 + (elements & _U(3)).astype(np.int64), 4 * parts).reshape(parts, 4)
-            out.append(mix((sums.sum(1, dtype=np.uint64)[:, None] - sums).ravel() + salt[: 4 * parts]))
-        else:
-            sums, count = _combine(values, place, parts), np.bincount(place, minlength=parts)
-            slack, least = parts - k - 1, LEAST
-            # Linked sets agree in more than `slack` partitions. If all those are thin, both sets have that
-            # many thin ones, and both sign the next thinner too; at last one mark for mostly empty sets.
-            while least > 1 and int((count < least).sum()) > slack:
-                least -= 1
-            out.append(mix(sums + salt[:parts])[count >= least])
-            if least == 1 and int((count == 0).sum()) > slack:
-                out.append(salt[-1:])
+        place = (((high * _U(parts)) >> _U(32)) * _U(cells) + ((low * _U(cells)) >> _U(32))).astype(np.int64)
+        sums = np.zeros(parts * cells, np.uint64)
+        np.add.at(sums, place, values)
+        sums, count = sums.reshape(parts, cells), np.bincount(place, minlength=parts * cells).reshape(parts, cells)
+        without = left_out(cells, fewer)
+        held = sums.sum(1, dtype=np.uint64)[:, None] - sums[:, without].sum(2, dtype=np.uint64)
+        count = count.sum(1)[:, None] - count[:, without].sum(2)
+        salt = mix(np.arange(1, held.size + 2, dtype=np.uint64) + _U(band << 32))
+        signed = mix(held.ravel() + salt[:-1])
+        if not slack:
+            out.append(signed)
+            continue
+        thinnest, least = count.min(1), LEAST
+        while least > 1 and int((thinnest < least).sum()) > slack:
+            least -= 1
+        out.append(signed[count.ravel() >= least])
+        if least == 1 and int((thinnest == 0).sum()) > slack:
+            out.append(salt[-1:])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -165,8 +189,8 @@ def _sign(batches, k: int, percent: int):
     with np.errstate(over="ignore"):
         for batch in batches:
             ids, sets = batch.column(0), shingle_sets(batch.column(1), k)
-            for at in range(0, len(ids), 1000):
-                part = ids.slice(at, 1000)
+            for at in range(0, len(ids), TEXT_ROWS):
+                part, rows = ids.slice(at, TEXT_ROWS), batch.column(2).slice(at, TEXT_ROWS)
                 n, node, sigs, sketches = [], [], [], []
                 for _ in range(len(part)):
                     e = next(sets)
@@ -180,7 +204,7 @@ def _sign(batches, k: int, percent: int):
                         seen.add(me)
                         sigs.append(signatures(e, bands).view(np.int64))
                         sketches.append(sketch(e))
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "sigs", "sketch"])
+                yield pa.RecordBatch.from_arrays([part, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "row", "n_shingles", "node", "sigs", "sketch"])
 
 
 def _near(batches, percent: int):
@@ -191,7 +215,7 @@ def _near(batches, percent: int):
             low, high = min(a, b), max(a, b)
             # |A & B| <= low and |A | B| >= high; difference <= (a + b)(100 - p) / (100 + p)
             keep.append(100 * low >= percent * high and (100 + percent) * least_difference(x, y) <= (a + b) * (100 - percent))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v", "times"])
 
 
 def _sets(batches, k: int):
@@ -237,13 +261,14 @@ def _elements(batches):
 def _difference_heads(batches, percent: int, shared):
     """The first elements of each member's difference D from its centre: rare ones, those common among members, those it lacks.
 
-    (centre, node, size of D, differences allowed, size of the set, element, position, whether it is in the short head).
-    Of two linked members, the one with the smaller D has a shared element among its first k // 2 + 1, the other among
-    its first k + 1. Position -1 stands for members so close to the centre that no element need be shared.
+    (centre, node, size of D, its weight, size of the set, element, position, whether it is in the short head).
+    Two members link when their weights, less ``200 + 2 percent`` for each shared element of D, are at most 0
+    in sum. Of two linked members, the one with the smaller D has a shared element among its first k // 2 + 1,
+    the other among its first k + 1. Position -1 stands for the centre itself, which all members share.
     """
     common = shared.value
     types = [*[pa.int64()] * 7, pa.bool_()]
-    names = ["c", "x", "d", "k", "size", "e", "at", "short"]
+    names = ["c", "x", "d", "w", "size", "e", "at", "short"]
     held, rows = [], 0
 
     def block():
@@ -261,9 +286,9 @@ def _difference_heads(batches, percent: int, shared):
             head = np.concatenate((extra[~often], extra[often], lost))[: k + 1].view(np.int64)
             at = np.arange(len(head))
             short = at <= k // 2
-            if d <= k:
-                head, at, short = np.append(head, 0), np.append(at, -1), np.append(short, d <= k // 2)
-            held.append((*(np.full(len(at), v) for v in (c, x, d, k, len(mine))), head, at, short))
+            head, at, short = np.append(head, 0), np.append(at, -1), np.append(short, False)
+            weight = (100 + percent) * d - (100 - percent) * len(mine)
+            held.append((*(np.full(len(at), v) for v in (c, x, d, weight, len(mine))), head, at, short))
             rows += len(at)
             if rows >= HEAD_ROWS:
                 yield block()
@@ -272,16 +297,9 @@ def _difference_heads(batches, percent: int, shared):
         yield block()
 
 
-@contextmanager
 def _batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows while a stage with wide rows is written."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows)
 
 
 class Join:
@@ -289,73 +307,104 @@ class Join:
 
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int):
         ship(docs.sparkSession)
-        self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        # a row is found again by a hash of key and text: keys may repeat or be null
+        self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
         self.k, self.percent, self.spark = k, percent, docs.sparkSession
         self.scratch = Scratch(self.spark)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        signed = self.docs.mapInArrow(lambda it: _sign(it, k, percent), f"doc_id {kind}, n_shingles long, node long, sigs array<long>, sketch binary")
-        self.signed = self.scratch.stage(signed, "sim-signed")
+        signed = self.docs.mapInArrow(lambda it: tidy(_sign(it, k, percent)), f"doc_id {kind}, row long, n_shingles long, node long, sigs array<long>, sketch binary")
+        with _batches_of(self.spark, TEXT_ROWS):
+            self.signed = self.scratch.stage(signed, "sim-signed")
         self.sketches = self._sketches()
 
     def _sketches(self) -> DataFrame:
         return self.signed.where("sketch is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (u, v) of nodes that may link."""
-        pairs = pairs.distinct()
+        """Those of the pairs (u, v) of nodes that may link, once each, with how often they came up."""
+        pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("times"))
         for side in "uv":
             pairs = pairs.join(self.sketches.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s")), side)
         with _batches_of(self.spark, 2000):
-            return self.scratch.stage(pairs.mapInArrow(lambda it, p=self.percent: _near(it, p), "u long, v long"), "sim-near")
+            return self.scratch.stage(pairs.mapInArrow(lambda it, p=self.percent: tidy(_near(it, p)), "u long, v long, times long"), "sim-near")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, elements) of distinct nodes. Only their texts are made into sets again."""
-        held = self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = self.scratch.stage(nodes.join(held, "node").select("doc_id", "node"), "sim-wanted")
+        held = self.signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
+        wanted = self.scratch.stage(nodes.join(held, "node").select("row", "node"), "sim-wanted")
         few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
-        sets = texts.mapInArrow(lambda it, k=self.k: _sets(it, k), "node long, elements binary")
-        return self.scratch.stage(sets.dropDuplicates(["node"]), "sim-sets")
+        texts = self.docs.join(F.broadcast(wanted) if few else wanted, "row").select("node", "text")
+        sets = texts.mapInArrow(lambda it, k=self.k: tidy(_sets(it, k)), "node long, elements binary")
+        with _batches_of(self.spark, TEXT_ROWS):
+            return self.scratch.stage(sets.dropDuplicates(["node"]), "sim-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that do link."""
         sets = self.sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+        pairs = pairs.select("u", "v")
         for side in "uv":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"{side}e")), side)
         with _batches_of(self.spark, 250):
-            return self.scratch.stage(pairs.mapInArrow(lambda it, p=self.percent: _linked(it, p), "u long, v long"), "sim-links")
-
-    def labels(self) -> DataFrame:
-        """(node, label) of every node that has a link: its component."""
+            out = self.scratch.stage(pairs.mapInArrow(lambda it, p=self.percent: tidy(_linked(it, p)), "u long, v long"), "sim-links")
+        self.scratch.drop("sim-sets")
+        return out
+
+    def across(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs whose ends are not in one component."""
+        for side, label in (("u", "_lu"), ("v", "_lv")):
+            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("label").alias(label)), side, "left")
+        return pairs.where(F.coalesce("_lu", "u") != F.coalesce("_lv", "v")).drop("_lu", "_lv")
+
+    def joined(self, links: DataFrame) -> DataFrame:
+        out = components(links, self.scratch.stage)
+        out = self.scratch.stage(out, "sim-labels")
+        self.scratch.drop("cc")
+        return out
+
+    def groups(self) -> DataFrame:
+        """(sig, node, n) of signatures that several rows hold."""
         rows = self.signed.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
-        group = Window.partitionBy("sig")
-        rows = rows.select("sig", "node", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"), F.count("*").over(group).alias("n"))
-        rows = self.scratch.stage(rows.where("low <> high").select("sig", "node", "n"), "sim-groups")  # at least two different sets
+        often = self.scratch.stage(rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sim-often")
+        out = self.scratch.stage(rows.join(often, "sig").select("sig", "node", "n"), "sim-groups")
         # signatures are done with: keep the narrow columns only
         self.signed = self.scratch.stage(self.signed.drop("sigs"), "sim-docs")
         self.sketches = self._sketches()
         self.scratch.drop("sim-signed")
+        self.scratch.drop("sim-often")
+        return out
+
+    def labels(self) -> DataFrame:
+        """(node, label) of every node that has a link: its component."""
+        rows = self.groups()
         weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
-        rows = rows.join(weight, "node").distinct()
-        rows = rows.withColumn("star", F.max(F.struct("w", "node")).over(group)["node"]).where("node <> star").select("sig", "node", "star", "n")
-        rows = self.scratch.stage(rows, "sim-stars")
-        links = self.links(self.near(rows.select(F.col("star").alias("u"), F.col("node").alias("v"))))
-        # Groups of three or more in which some member did not link to the star.
-        joined = rows.where("n > 2").join(links.select(F.col("u").alias("star"), F.col("v").alias("node"), F.lit(True).alias("ok")), ["star", "node"], "left")
-        open_ = joined.where("ok is null").select("sig").distinct()
-        found = components(links, self.scratch.stage)
-        rest = joined.join(open_, "sig", "left_semi").join(found.select("node", F.col("label").alias("l")), "node", "left")
+        best = rows.join(weight, "node").groupBy("sig").agg(F.max(F.struct("w", "node")).alias("star"), F.min("node").alias("low"), F.max("node").alias("high"))
+        best = best.where("low <> high").select("sig", F.col("star.node").alias("star"))  # at least two different sets
+        rows = self.scratch.stage(rows.distinct().join(best, "sig"), "sim-stars")
+        self.scratch.drop("sim-groups")
+        pairs = self.near(rows.where("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v")))
+        first = pairs.groupBy("v").agg(F.max_by("u", F.struct("times", "u")).alias("u"))
+        links = self.links(first.select("u", "v"))
+        found = self.joined(links)
+        rest = self.across(pairs.join(first, ["u", "v"], "left_anti"), found)
+        links, found = self.with_more(links, found, self.links(self.scratch.stage(rest, "sim-rest")))
+        # Groups that still hold several components.
+        named = rows.join(found, "node", "left").withColumn("l", F.coalesce("label", "node")).drop("label")
+        open_ = named.groupBy("sig").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("sig")
         # stars of one component stand for one centre, so that a cluster's many groups share it
-        rest = rest.join(found.select(F.col("node").alias("star"), F.col("label").alias("c")), "star", "left")
-        rest = self.scratch.stage(rest.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", F.coalesce("l", "node").alias("l")), "sim-rest")
+        named = named.join(open_, "sig").join(found.select(F.col("node").alias("star"), F.col("label").alias("c")), "star", "left")
+        rest = self.scratch.stage(named.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", "l"), "sim-open")
+        self.scratch.drop("sim-stars")
         near = self.near(self.small_groups(rest))
-        large = self.large_groups(rest)
-        if large is not None:
-            near = near.unionByName(self.near(large)).distinct()
-        more = self.links(near)
+        links, found = self.with_more(links, found, self.links(near))
+        return self.large_groups(rest, links, found)
+
+    def with_more(self, links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components with further links, which may be none."""
         if not more.limit(1).count():
-            return found
-        return components(links.unionByName(more), self.scratch.stage)
+            return links, found
+        links = links.unionByName(more)
+        return links, self.joined(links)
 
     def small_groups(self, rest: DataFrame) -> DataFrame:
         """Pairs of different components within groups of at most ``SMALL``."""
@@ -363,37 +412,44 @@ class Join:
         other = small.select("sig", F.col("node").alias("v"), F.col("l").alias("m"))
         return small.join(other, "sig").where("node < v and l <> m").select(F.col("node").alias("u"), "v")
 
-    def large_groups(self, rest: DataFrame) -> DataFrame | None:
-        """Pairs of different components within larger groups that share an element among the heads of their differences from a centre."""
+    def large_groups(self, rest: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+        """``found`` with the links in larger groups: certain ones through a group's closest member, others by shared elements of differences."""
         large = rest.where(F.col("n") > SMALL).select(F.col("c").alias("u"), F.col("node").alias("v")).distinct()
         large = self.scratch.stage(large, "sim-large")
         if not large.limit(1).count():
-            return None
+            return found
         sets = self.sets_of(large.select(F.col("v").alias("node")).distinct())
         held = large.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("ve")), "v")
         few = Window.partitionBy("u").orderBy(F.xxhash64("v"))
-        some = large.withColumn("at", F.row_number().over(few)).where(F.col("at") <= CENTRE_OF)
+        some = large.withColumn("at", F.row_number().over(few)).where(F.col("at") <= CENTRE_OF)  # limited before the shuffle
         some = some.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("ve")), "v").select("u", "ve")
         centres = self.scratch.stage(some.groupBy("u").applyInPandas(_centre, "u long, centre binary"), "sim-centres")
         # passages that many members share come late in the order; the table is bounded and any table gives the same links
         often = some.mapInArrow(_elements, "e long").groupBy("e").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "e").limit(COMMON_MOST).collect()
         common = self.spark.sparkContext.broadcast(np.sort(np.array([r.e for r in often], np.int64).view(np.uint64)))
         with _batches_of(self.spark, 250):
-            heads = held.join(centres, "u").mapInArrow(lambda it, p=self.percent: _difference_heads(it, p, common), "c long, x long, d long, k long, size long, e long, at long, short boolean")
+            heads = held.join(centres, "u").mapInArrow(lambda it, p=self.percent: tidy(_difference_heads(it, p, common)), "c long, x long, d long, w long, size long, e long, at long, short boolean")
             heads = self.scratch.stage(heads, "sim-heads")
-        heads = heads.join(rest.select(F.col("node").alias("x"), "l").distinct(), "x")
-        shared = Window.partitionBy("c", "e")
-        heads = heads.withColumn("many", F.count("*").over(shared)).where("many > 1").drop("many")
-        other = heads.select("c", "e", F.col("x").alias("y"), F.col("d").alias("f"), F.col("size").alias("other"), F.col("l").alias("m"), F.col("at").alias("bt"))
+        self.scratch.drop("sim-sets")
+        bonus = F.when(F.col("at") < 0, 0).otherwise(200 + 2 * self.percent)
+        close = heads.groupBy("c", "e").agg(F.min(F.struct("w", "x")).alias("m"), F.count("*").alias("many")).where("many > 1")
+        close = self.scratch.stage(close.select("c", "e", F.col("m.w").alias("mw"), F.col("m.x").alias("mx")), "sim-close")
+        heads = heads.join(close, ["c", "e"]).withColumn("sure", F.col("w") + F.col("mw") <= bonus)
+        heads = self.scratch.stage(heads, "sim-shared")
+        certain = heads.where("sure and x <> mx").select(F.col("mx").alias("u"), F.col("x").alias("v")).distinct()
+        links, found = self.with_more(links, found, self.scratch.stage(certain, "sim-certain"))
+        names = found.select(F.col("node").alias("x"), F.col("label").alias("l"))
+        heads = heads.where("at >= 0").join(names, "x", "left").withColumn("l", F.coalesce("l", "x"))
+        other = heads.select("c", "e", F.col("x").alias("y"), F.col("d").alias("f"), F.col("size").alias("other"), F.col("l").alias("m"), F.col("at").alias("bt"), F.col("sure").alias("sure2"))
         most = f"floor((size + other) * {100 - self.percent} / {100 + self.percent})"  # differences of a linked pair
-        close = f"at < 0 and bt < 0 and d + f <= {most}"
-        ahead = f"at >= 0 and bt >= 0 and 2 * least(d - at, f - bt) >= d + f - {most}"
-        pairs = heads.where("short").join(other, ["c", "e"]).where(f"l <> m and (d < f or d = f and x <> y) and ({close} or {ahead})")
-        return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+        ahead = f"2 * least(d - at, f - bt) >= d + f - {most}"
+        pairs = heads.where("short").join(other, ["c", "e"]).where(f"l <> m and not (sure and sure2) and (d < f or d = f and x <> y) and {ahead}")
+        near = self.near(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+        return self.with_more(links, found, self.links(near))[1]
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, the document itself included."""
-        names = self.scratch.stage(self.labels(), "sim-labels")
+        names = self.labels()
         nodes = self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         nodes = nodes.join(names, "node", "left").withColumn("label", F.coalesce("label", "node"))
         nodes = self.scratch.stage(nodes, "sim-nodes")
