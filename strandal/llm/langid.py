@@ -2,44 +2,45 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into the
 longest matches found in that language's text; the language that needs the fewest phrases per
-character wins. The automata of all languages are one transition table, and texts are cut into
-fixed blocks that step through it in lockstep, so that one vector operation moves all blocks of a
-batch by one character in every language. Whole texts are parsed; a block boundary costs at most one
-phrase in each language alike.
-
-Learning takes at most ``SAMPLE_CHARS`` characters per language (a documented bound), from rows in
-the order of a hash. A null text or one without a letter is ``und`` with score 0. Rows are independent: repeated rows
-get equal results; an empty table gives an empty result; no labelled row at all gives ``und``. Other
-columns are untouched.
+character wins. The automata of all languages lie in one table of interleaved rows, built on the
+driver and broadcast, and texts are cut into fixed blocks that step through it in lockstep, so that one
+vector operation moves all blocks of a batch by one character in every language. Whole texts are parsed; a
+block boundary costs at most one phrase in each language alike.
+
+Learning takes at most ``SAMPLE_CHARS`` characters for each language (a documented bound), in windows of
+``WINDOW_CHARS`` at hashed places of rows in the order of a hash. All languages and all characters of the samples
+count, whatever their number; a character that no sample has matches nothing.
+
+A null text or one without a letter is ``und`` with score 0. Of languages with equally few phrases the first
+by name wins, with score 0. Rows are independent: repeated rows get equal results, and very long texts are
+worked in blocks; an empty table gives an empty result; no labelled row at all gives ``und``. Other columns are
+untouched, but that those named ``_l_lang``, ``_l_score`` or ``_l_rate`` are replaced.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table
+from .base import ship, table, tidy
 
 SAMPLE_CHARS = 24_000
-ROW_CHARS = 400  # of one labelled row, so that a sample has many rows
-MOST_LANGUAGES = 256
-SYMBOLS = 96  # the most frequent characters of the samples; all others share one symbol that no sample has
+WINDOW_CHARS = 400
 BLOCK = 256
 LANES = 4096  # blocks that step together
-_models: dict[str, Model] = {}
+OUT = ["_l_lang", "_l_score", "_l_rate"]
 
 
 def _fold(text: str) -> str:
     return text.lower()
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings: row 0 is the root, 0 as an entry means none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings; state 0 is the root."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -65,39 +66,99 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.zeros((len(go), width), np.int32)
-    for s, edges in enumerate(go):
-        for c, t in edges.items():
-            out[s, c] = t
-    return out
+    return go
+
+
+def interleave(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each state, owner of each slot, target of each slot): sparse rows laid over one another.
+
+    A state's row starts at its place, which no other state has; slot ``place + code`` is its edge if it owns the
+    slot. Rows with many edges are placed first, each at the first of a fixed sequence of tries that fits.
+    """
+    order = sorted(range(len(rows)), key=lambda s: -len(rows[s]))
+    edges = sum(map(len, rows))
+    size = 2 * edges + 2 * len(rows) + width + 64
+    owner = np.full(size + width + 1, -1, np.int32)
+    place = np.full(len(rows), -1, np.int32)
+    used = np.zeros(size, bool)
+    singles = 0
+    rng = np.random.default_rng(len(rows))
+    for n, s in enumerate(order):
+        if len(rows[s]) <= 1:
+            singles = n
+            break
+        codes = np.fromiter(rows[s], np.int64, len(rows[s]))
+        while True:
+            tries = rng.integers(1, size, 64)
+            fits = ~used[tries] & (owner[tries[:, None] + codes] < 0).all(1)
+            if fits.any():
+                at = int(tries[np.argmax(fits)])
+                break
+        place[s], used[at] = at, True
+        owner[at + codes] = at
+    else:
+        singles = len(order)
+    one = [s for s in order[singles:] if rows[s]]
+    codes = np.array([next(iter(rows[s])) for s in one], np.int64)
+    left = np.arange(len(one))
+    while len(left):  # all at once; of two that want one place or slot, the first gets it
+        at = rng.integers(1, size, len(left))
+        slot = at + codes[left]
+        fits = ~used[at] & (owner[slot] < 0)
+        for values in (at, slot):
+            _, head = np.unique(values, return_index=True)
+            mark = np.zeros(len(left), bool)
+            mark[head] = True
+            fits &= mark
+        place[np.array(one)[left[fits]]] = at[fits]
+        used[at[fits]] = True
+        owner[slot[fits]] = at[fits]
+        left = left[~fits]
+    free = np.flatnonzero(~used[1:]) + 1
+    bare = [s for s in order[singles:] if not rows[s]]
+    place[bare] = free[: len(bare)]
+    target = np.zeros(len(owner), np.int32)
+    for s, row in enumerate(rows):
+        for c, t in row.items():
+            target[place[s] + c] = place[t]
+    return place, owner, target
 
 
 class Model:
-    """The automata of all languages in one flat table."""
+    """The automata of all languages; about 16 bytes for each edge, of which a sample of n characters has up to 3 n."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         folded = {k: _fold(v) for k, v in samples.items()}
-        seen: dict[str, int] = {}
-        for v in folded.values():
-            for c in v:
-                seen[c] = seen.get(c, 0) + 1
-        top = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 1]
-        self.code = np.full(0x110000, SYMBOLS - 1, np.uint8)
-        for i, c in enumerate(top):
-            self.code[ord(c)] = i
-        tables, self.roots, at = [], [], 0
+        chars = sorted({c for v in folded.values() for c in v})
+        self.width = len(chars) + 1  # the last code is that of all characters that no sample has
+        self.chars = np.array([ord(c) for c in chars], np.uint32)
+        rows: list[dict[int, int]] = []
+        roots = []
         for k in self.langs:
-            codes = [int(self.code[ord(c)]) for c in folded[k]]
-            t = suffix_automaton([c for c in codes], SYMBOLS) if codes else np.zeros((1, SYMBOLS), np.int32)
-            t[:, SYMBOLS - 1] = 0  # the shared symbol matches nothing
-            # states become offsets into the flat table; 0 stays "none", so the first root moves to row 1
-            t = np.where(t > 0, (t + at + 1) * SYMBOLS, 0).astype(np.int32)
-            tables.append(t)
-            self.roots.append((at + 1) * SYMBOLS)
-            at += len(t)
-        self.flat = np.concatenate([np.zeros((1, SYMBOLS), np.int32), *tables]).ravel() if tables else np.zeros(SYMBOLS, np.int32)
-        self.first = np.stack([self.flat[r : r + SYMBOLS] for r in self.roots]) if tables else np.zeros((0, SYMBOLS), np.int32)
+            found = suffix_automaton(np.searchsorted(self.chars, np.frombuffer(folded[k].encode("utf-32-le", "surrogatepass"), np.uint32)).tolist())
+            roots.append(len(rows))
+            rows += [{c: t + roots[-1] for c, t in row.items()} for row in found]
+        place, self.owner, self.target = interleave(rows, self.width)
+        # what follows each language's root; 0, which is no state's place, where it lacks the character
+        self.first = np.zeros((len(self.langs), self.width), np.int32)
+        for j, r in enumerate(roots):
+            for c, t in rows[r].items():
+                self.first[j, c] = place[t]
+
+    def codes_of(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lut = getattr(self, "_lut", None)
+        if lut is None:
+            lut = self._lut = np.full(0x3000, len(self.chars), np.int32)
+            low = self.chars[self.chars < 0x3000]
+            lut[low] = np.arange(len(low))
+        out = lut[np.minimum(points, 0x2FFF)]
+        high = np.flatnonzero(points >= 0x2FFF)
+        if len(high):
+            at = np.minimum(np.searchsorted(self.chars, points[high]), len(self.chars) - 1)
+            out[high] = np.where(self.chars[at] == points[high], at, len(self.chars)) if len(self.chars) else 0
+        return out
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrase counts, a row per text and a column per language."""
@@ -106,7 +167,7 @@ class Model:
             return out
         folded = [_fold(t) for t in texts]
         lengths = np.array([len(t) for t in folded], np.int64)
-        codes = self.code[np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        codes = self.codes_of("".join(folded))
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         if not len(owner):
@@ -133,8 +194,10 @@ class Model:
         for t in range(steps):
             n = int(live[t])
             c = grid[t, :n]
-            to = self.flat[state[:, :n] + c]
-            fail = to == 0
+            at = state[:, :n]
+            slot = at + c
+            to = self.target[slot]
+            fail = self.owner[slot] != at
             count[:, :n] += fail
             np.copyto(to, self.first[:, c], where=fail)
             state[:, :n] = to
@@ -142,20 +205,23 @@ class Model:
 
 
 def learn(df: DataFrame, text: str, lang: str, order_by: str, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """At most ``chars`` characters for each language (fewer when there are over 16 languages), from rows picked by a hash.
+    """At most ``chars`` characters for each language, from rows picked by a hash.
 
     Languages are counted without reading texts; the counts give each language a hash threshold under
-    which about twice the rows that are needed lie, and one scan brings the heads of those rows.
+    which about twice the rows that are needed lie, and one scan brings a window of each of those rows. The
+    driver holds one count and one sample for each language.
     """
-    counts = df.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+    counts = df.groupBy(lang).count().collect()
     if not counts:
         return {}
-    chars = min(chars, 16 * chars // len(counts))
-    rows = -(-chars // ROW_CHARS) * 2
+    rows = -(-chars // WINDOW_CHARS) * 2
     unit = F.pmod(F.xxhash64(order_by), F.lit(1 << 40))
-    below = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1 << 40, (rows << 41) // r[1]))]), F.col(lang))
-    picked = df.where((unit < below) & F.col(text).rlike("\\p{L}"))
-    found = picked.select(F.col(lang).alias("l"), unit.alias("h"), F.substring(text, 1, ROW_CHARS).alias("t")).orderBy("h", "t").limit(4 * rows * len(counts)).collect()
+    shares = df.sparkSession.createDataFrame([(r[0], min(1 << 40, (rows << 41) // r[1])) for r in counts], "_l_key string, _l_below long")
+    picked = df.join(F.broadcast(shares), F.col(lang) == F.col("_l_key")).where((unit < F.col("_l_below")) & F.col(text).rlike("\\p{L}"))
+    place = F.pmod(F.xxhash64(order_by, F.lit(1)), F.greatest(F.lit(1), F.length(text) - WINDOW_CHARS + 1).cast("long")).cast("int") + 1
+    window = F.substring(F.col(text), place, F.lit(WINDOW_CHARS))
+    # where rows share a hash, more than twice the rows that are needed may lie under the threshold
+    found = picked.select(F.col(lang).alias("l"), unit.alias("h"), window.alias("t")).orderBy("h", "t").limit(4 * rows * len(counts)).collect()
     out: dict[str, list[str]] = {}
     for r in found:
         out.setdefault(r.l, []).append(r.t)
@@ -166,17 +232,8 @@ def _has_letter(text: str) -> bool:
     return text.isascii() and any(map(str.isalpha, text)) or any(unicodedata.category(c)[0] == "L" for c in text)
 
 
-def _model(samples: dict[str, str]) -> Model:
-    """Built once per Python worker."""
-    key = str(sorted((k, zlib.crc32(v.encode()), len(v)) for k, v in samples.items()))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
-
-
-def _predict(batches, samples, text: str, keep_text: bool):
-    model = _model(samples.value)
+def _predict(batches, shared, text: str, keep_text: bool):
+    model = shared.value
     for batch in batches:
         texts = [t or "" for t in batch.column(text).to_pylist()]
         langs, scores, rates = [], [], []
@@ -201,17 +258,17 @@ def _predict(batches, samples, text: str, keep_text: bool):
         keep = [c for c in batch.schema.names if keep_text or c != text]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-            names=[*keep, "_l_lang", "_l_score", "_l_rate"],
+            names=[*keep, *OUT],
         )
 
 
 def identify(df: DataFrame, samples: dict[str, str], text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df``, without its text unless that is to be kept, plus ``_l_lang``, ``_l_score`` (the lead over the runner-up, 0 to 1) and ``_l_rate`` (phrases a character)."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.drop(*OUT)
     ship(spark)
-    shared = spark.sparkContext.broadcast(samples)  # at most MOST_LANGUAGES * SAMPLE_CHARS characters
+    shared = spark.sparkContext.broadcast(Model(samples))  # some 50 bytes for each character of the samples
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text)
-    return df.mapInArrow(lambda it: _predict(it, shared, text, keep_text), f"{head}, _l_lang string, _l_score double, _l_rate double")
+    return df.mapInArrow(lambda it: tidy(_predict(it, shared, text, keep_text)), f"{head}, _l_lang string, _l_score double, _l_rate double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import LOWER, ship, slices, span_hashes, stage, table, text_bytes, word_spans
+from .base import LOWER, ship, slices, span_hashes, stage, table, task_cache, text_bytes, tidy, word_spans
 
 WINDOW, UNIT, END_ID = 4096, 64, 2
 BINS = WINDOW // UNIT
@@ -36,7 +36,7 @@ DEPTH = 4
 _END = np.array([END_ID], "<u4").tobytes()
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_WORDS = 1_500_000  # some 40 bytes each
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = task_cache()
 
 
 class Encoder:
@@ -174,7 +174,7 @@ def cut_pieces(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     """The pieces of every document, with checksums; rows are tokenized where they are."""
     ship(df.sparkSession)
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda it: _cut(it, tokenizer), PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(lambda it: tidy(_cut(it, tokenizer)), PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -372,11 +372,11 @@ def pack(pieces: DataFrame) -> DataFrame:
     schema = OUT.format(id=pieces.schema["doc_id"].dataType.simpleString())
     first = sequence
     loose = main.where("rank >= taken").select(*base, "crcs", (F.col("line") + (F.col("rank") - F.col("taken")) * F.col("bin")).alias("at"))
-    loose = loose.mapInArrow(lambda it: _lay(it, line, first, True), schema)
+    loose = loose.mapInArrow(lambda it: tidy(_lay(it, line, first, True)), schema)
     second = first + line // BINS + len(windows(line, BINS))
     tail_tokens = counts.get(0, (0, 0))[1]
     tails = _ranked(pieces.where("bin = 0").select(*base, "ids", F.lit(0).alias("bin")), "bin", F.col("length").cast("long"), "at").drop("bin")
-    tails = tails.mapInArrow(lambda it: _lay(it, tail_tokens, second, False), schema)
+    tails = tails.mapInArrow(lambda it: tidy(_lay(it, tail_tokens, second, False)), schema)
     return placed.unionByName(loose).unionByName(tails)
 
 

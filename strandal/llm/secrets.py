@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table
+from .base import ship, table, tidy
 
 #: The pattern kinds, in the order that breaks ties; fixed values.
 KINDS = ("assign", "access", "hex")
@@ -173,7 +173,7 @@ def scan(df: DataFrame, clean: bool = False) -> DataFrame:
     ship(df.sparkSession)
     keep = [f for f in df.schema if f.name != "text" or clean]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return df.mapInArrow(lambda it: _scan(it, clean), f"{head}, {SCHEMA}" if head else SCHEMA)
+    return df.mapInArrow(lambda it: tidy(_scan(it, clean)), f"{head}, {SCHEMA}" if head else SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

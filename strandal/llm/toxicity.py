@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, slices, stage, table, text_bytes, word_hashes
+from .base import ship, slices, stage, table, text_bytes, tidy, word_hashes
 
 SPACE_BITS = 20
 GRADES = 3
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y = stage(y, "tox-labels")
     few = y.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # else labels and texts are both shuffled
     rows = docs.select(F.col(key).alias("_t_key"), F.col(text).alias("_t_text")).join(F.broadcast(y) if few else y, "_t_key").select(F.xxhash64("_t_key").alias("_t_h"), "_t_y", "_t_text")
-    bags = stage(rows.mapInArrow(_features, "h long, y int, f array<int>"), "tox")
+    bags = stage(rows.mapInArrow(lambda it: tidy(_features(it)), "h long, y int, f array<int>"), "tox")
     fold, toxic = F.pmod("h", F.lit(FOLDS)), (F.col("y") > 0).cast("int")
     total = np.zeros((2, FOLDS))  # toxic rows, all rows
     for r in bags.groupBy(fold.alias("k")).agg(F.sum(toxic).alias("a"), F.count("*").alias("n")).collect():
@@ -170,7 +170,7 @@ def score(df: DataFrame, model, text: str = "text") -> DataFrame:
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # 2**SPACE_BITS weights at most
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return df.mapInArrow(lambda it: _score(it, shared, text), f"{head}, _t_severity double, _t_p double")
+    return df.mapInArrow(lambda it: tidy(_score(it, shared, text)), f"{head}, _t_severity double, _t_p double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_path, ship, stage, table
+from .base import new_path, ship, stage, table, tidy
 
 LEAST = 100
 PACKAGE_BYTES = 128 << 20
@@ -145,7 +145,7 @@ def _write(batches, base: str):
 def write_packages(records: DataFrame, base: str) -> DataFrame:
     """Writes packages below ``base``, a folder that all executors share; returns (package, records), committed."""
     ship(records.sparkSession)
-    return stage(records.mapInArrow(lambda it: _write(it, base), "package string, records long"), "warc-list")
+    return stage(records.mapInArrow(lambda it: tidy(_write(it, base)), "package string, records long"), "warc-list")
 
 
 def zip_members(f, size: int) -> dict[str, tuple[int, int, int]]:
