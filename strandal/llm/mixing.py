@@ -4,9 +4,14 @@ Sizes are summed by source and hash bucket; a source's budget then falls inside
 the rows of that boundary bucket are looked at again, in finer buckets. What comes out is one
 threshold per source; a row is in when its hash lies below it. Nothing is sorted.
 
+Where a boundary row doesn't fit, the search goes on behind it among rows that do fit in what is left, until
+what is left is below ``CLOSE`` of the target or no row fits; each such turn adds a hash range with a largest size.
+A source whose untaken rows are all too large takes small rows once more, where that keeps to the most repeats.
+
 Null texts have size 0 and are never taken. A null source is a source of its own, last in order.
-Repeated rows share a hash and go in or out together. An empty table gives an empty result. Working
-columns carry an ``_m_`` prefix; all others are untouched.
+Repeated rows share a hash and go in or out together, as do rows whose hashes agree in 40 bits. An empty table
+gives an empty result. Working columns carry an ``_m_`` prefix, and given columns of the same names are
+replaced; all others are untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from .base import SPACE, ship, stage, table
 
 BITS, LEVELS = 10, 4  # 1,024 buckets a level; thresholds of 40 bits
 MOST_REPEATS = 3
-RANGES, CLOSE = 4, 0.002
+CLOSE = 0.001
+TURNS = 64  # each at least takes a source's boundary row out of question; two or three are usual
 BROADCAST_SOURCES = 100_000  # of some 200 bytes each
 
 
@@ -54,18 +60,18 @@ def _cell(bits: int) -> Column:
 def _descend(df: DataFrame, size: str, source: str, left: dict, low: dict) -> dict:
     """For each source of ``low``: (boundary cell, its size), the first cell from ``low`` on that the budget can't take whole.
 
-    ``left`` is reduced by all cells before it. Level by level, only rows in the cell that holds the
-    boundary are summed in finer buckets.
+    Only rows that alone fit in what was ``left`` count. ``left`` is reduced by all cells before the boundary.
+    Level by level, only rows in the cell that holds it are summed in finer buckets.
     """
-    prefix, found = dict.fromkeys(low, 0), {}
+    prefix, found, most = dict.fromkeys(low, 0), {}, {k: int(left[k]) for k in low}
     for level in range(LEVELS):
-        fields = [("_m_prefix", T.LongType()), ("_m_low", T.LongType())]
-        edge = _table(df.sparkSession, [(k, prefix[k], low[k]) for k in prefix], fields)
-        rows = df.join(edge, df[source].eqNullSafe(edge["_m_key"])).where(_cell(BITS * LEVELS) >= F.col("_m_low"))
+        fields = [("_m_prefix", T.LongType()), ("_m_low", T.LongType()), ("_m_most", T.LongType())]
+        edge = _table(df.sparkSession, [(k, prefix[k], low[k], most[k]) for k in prefix], fields)
+        rows = df.join(edge, df[source].eqNullSafe(edge["_m_key"])).where((_cell(BITS * LEVELS) >= F.col("_m_low")) & (F.col(size) <= F.col("_m_most")))
         if level:
             rows = rows.where(_cell(BITS * level) == F.col("_m_prefix"))
         sums: dict = {}
-        for k, b, n in rows.groupBy(source, _cell(BITS * (level + 1)).alias("b")).agg(F.sum(size)).collect():
+        for k, b, n in rows.groupBy(source, _cell(BITS * (level + 1)).alias("b")).agg(F.sum(size)).toLocalIterator():
             sums.setdefault(k, []).append((b, n or 0))
         for k in list(prefix):
             for b, n in sorted(sums.get(k, [])):
@@ -85,39 +91,50 @@ def _descend(df: DataFrame, size: str, source: str, left: dict, low: dict) -> di
 def plan_mix(df: DataFrame, size: str, source: str, hash_of: list[str], weights=(1, 2, 3)) -> DataFrame:
     """One row per source: its size, target, whole repeats and hash ranges. ``df`` needs sizes, not texts.
 
-    Every row is taken ``target // size`` times, and rows in the source's hash ranges once more. The
-    first range ends at the row that no longer fits; where what is left is over ``CLOSE`` of the
-    target, up to ``RANGES - 1`` further ranges begin after that row. The driver holds one row per
-    source and, while thresholds are refined, at most ``2**BITS`` sums for each source.
+    Every row is taken ``target // size`` times, and rows in the source's hash ranges, up to the range's largest
+    size, once more. The driver holds one row per source and, while thresholds are refined, at most
+    ``2**BITS`` sums for each source; sources are names that someone gave, so they don't grow with rows.
     """
-    df = df.withColumn("_m_hash", F.xxhash64(*hash_of))
+    df = df.drop(*WORKING).withColumn("_m_hash", F.xxhash64(*hash_of))
     totals = {r[0]: r[1] or 0 for r in df.groupBy(source).agg(F.sum(size)).collect()}
     targets = source_targets(list(totals.items()), weights)
     whole = {k: int(targets[k] // v) if v else 0 for k, v in totals.items()}
     left = {k: targets[k] - whole[k] * v for k, v in totals.items()}
     ranges: dict = {k: [] for k in totals}
-    low = {k: 0 for k in totals if left[k] >= 1}
-    for turn in range(RANGES):
+    low, again = {k: 0 for k in totals if left[k] >= 1}, set()
+    for turn in range(TURNS):
         if not low:
             break
+        most = {k: int(left[k]) for k in low}
         for k, (cell, n) in _descend(df, size, source, left, low).items():
-            take = turn == RANGES - 1 and n < 2 * left[k]  # the last boundary row is in when that comes nearer
-            ranges[k].append((low[k], cell + take))
+            over = cell >> BITS * LEVELS
+            # the boundary row ends the search when to overshoot by it comes near enough
+            take = not over and 0 < n - left[k] <= CLOSE * targets[k]
+            if cell + take > low[k]:
+                ranges[k].append((low[k], cell + take, most[k]))
             left[k] -= n * take
             low[k] = cell + 1
-            if left[k] <= CLOSE * targets[k] or cell >> BITS * LEVELS:
+            if over and whole[k] + 2 <= MOST_REPEATS and k not in again:
+                again.add(k)  # what is still missing comes from small rows once more
+                low[k] = 0
+            elif over:
                 del low[k]
-    span = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+            if take or left[k] < 1 or left[k] <= CLOSE * targets[k]:
+                low.pop(k, None)
+    span = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("low", "high", "most")]))
     fields = [("_m_source_size", T.LongType()), ("_m_target", T.DoubleType()), ("_m_whole", T.LongType()), ("_m_ranges", span)]
     return _table(df.sparkSession, [(k, totals[k], targets[k], whole[k], ranges[k]) for k in totals], fields)
 
 
-def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_of: list[str]) -> DataFrame:
+WORKING = ["_m_hash", "_m_key", "_m_source_size", "_m_target", "_m_whole", "_m_ranges", "_m_copies", "_m_prefix", "_m_low", "_m_most"]
+
+
+def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_of: list[str], size: str = "size") -> DataFrame:
     """``df`` with ``_m_source_size``, ``_m_target`` and ``_m_copies`` (whole repeats of each row): a filter by hash."""
-    df = df.withColumn("_m_hash", F.xxhash64(*hash_of))
+    df = df.drop(*WORKING).withColumn("_m_hash", F.xxhash64(*hash_of))
     out = df.join(plan, df[source].eqNullSafe(plan["_m_key"]), "left")
     cell = _cell(BITS * LEVELS)
-    more = F.exists("_m_ranges", lambda r: (cell >= r["low"]) & (cell < r["high"])).cast("long")
+    more = F.size(F.filter("_m_ranges", lambda r: (cell >= r["low"]) & (cell < r["high"]) & (F.col(size) <= r["most"]))).cast("long")
     return out.withColumn("_m_copies", F.col("_m_whole") + more).drop("_m_key", "_m_hash", "_m_whole", "_m_ranges")
 
 
