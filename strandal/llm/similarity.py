@@ -9,12 +9,13 @@ enumerated. One subset has no difference, so linked sets share its signature. ``
 by k: one partition for up to three differences, else partitions with one difference each.
 
 Subsets that hold fewer than ``LEAST`` elements of a set say little, and common passages would fill such
-groups. A band has ``slack`` partitions more than needed, so ``slack + 1`` of them meet the rule, and a set
-leaves thin subsets unsigned as long as they lie in at most ``slack`` partitions (see ``signatures``).
+groups. A band has ``slack`` partitions more than needed, so linked sets have several equal subsets, and a set
+leaves thin ones unsigned as long as they are fewer than that (see ``signatures``).
 
-A signature's rows are counted first, with sums on the map side; only those of signatures held twice are joined
-with that count, so that a signature of a third of all documents is split over tasks like any skewed
-join. Candidates come from stars: in each group of equal signatures every member meets the most central one,
+Signatures of many documents are found while documents are hashed: one that ``HEAVY`` sets of a single task
+have. Their rows are summed on the map side and joined with the sums, so that a signature of a third of all
+documents is split over tasks like any skewed join; all others have fewer than ``HEAVY`` rows a task and are
+grouped by a window. Candidates come from stars: in each group every member meets the most central one,
 which shares most signatures with others. Odd sketches (parities of hashed elements, a lower bound of the
 difference) drop most false candidates without loss; the others' sets are intersected exactly, first one
 star for each document, then only candidates that are still in different components.
@@ -55,6 +56,8 @@ SMALL = 16  # groups up to this size are paired out
 CENTRE_OF = 24  # members that a large group's centre is made of; any centre gives the same links
 COMMON_FROM, COMMON_MOST = 6, 200_000  # sampled sets that have a common element; the most such elements
 LEAST = 2  # elements of a subset that is signed in any case
+HEAVY = 16
+SIGNATURE_ROWS = 200_000  # in one Arrow batch, 3 MB
 SKETCH_MIN, SKETCH_MAX = 64, 16384
 HEAD_ROWS = 50_000  # of differences in one Arrow batch, 3 MB
 TEXT_ROWS = 1000  # of texts in one Arrow batch
@@ -97,11 +100,11 @@ class Bands:
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """The PartEnum signatures of one set of hashed elements.
 
-    Of linked sets, ``slack + 1`` partitions each have a subset of cells in which both are equal. A set
-    signs subsets of at least ``least`` elements, where ``least`` falls from ``LEAST`` until the partitions
-    that hold a thinner subset are at most ``slack``. So of the set with the larger ``least`` some common
-    subset is signed, and then by the other too. Where even empty subsets lie in more partitions, one mark
-    stands for all of those sets.
+    With k differences in ``n1`` partitions, at least ``2 n1 - k`` subsets of linked sets are equal: the first
+    difference in a partition leaves one of its subsets equal, the second none. A set signs subsets of
+    at least ``least`` elements, where ``least`` falls from ``LEAST`` until fewer than ``2 n1 - k`` are thinner. So of
+    the set with the larger ``least`` some equal subset is signed, and then by the other too. Where even
+    empty subsets are as many, one mark stands for all of those sets.
     """
     n, out = len(elements), []
     first, _ = bands.plan(n)
@@ -124,11 +127,11 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
         if not slack:
             out.append(signed)
             continue
-        thinnest, least = count.min(1), LEAST
-        while least > 1 and int((thinnest < least).sum()) > slack:
+        count, equal, least = count.ravel(), 2 * parts - k, LEAST
+        while least > 1 and int((count < least).sum()) >= equal:
             least -= 1
-        out.append(signed[count.ravel() >= least])
-        if least == 1 and int((thinnest == 0).sum()) > slack:
+        out.append(signed[count >= least])
+        if least == 1 and int((count == 0).sum()) >= equal:
             out.append(salt[-1:])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -183,28 +186,64 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def _sign(batches, k: int, percent: int):
-    """A row per document; only the first of equal sets in a task signs."""
-    bands, seen = Bands(percent), set()
+def _digest(batches, k: int, percent: int):
+    """A row per document, with a sketch for the first of equal sets in a task; ``heavy`` signatures come with the last rows."""
+    bands, seen, signed, held = Bands(percent), set(), [], 0
+    names = ["doc_id", "row", "n_shingles", "node", "sketch", "heavy"]
+
+    def often() -> np.ndarray:
+        sigs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *signed]), return_counts=True)
+        return sigs[n >= HEAVY]
+
     with np.errstate(over="ignore"):
+        heavy = np.zeros(0, np.uint64)
         for batch in batches:
             ids, sets = batch.column(0), shingle_sets(batch.column(1), k)
             for at in range(0, len(ids), TEXT_ROWS):
                 part, rows = ids.slice(at, TEXT_ROWS), batch.column(2).slice(at, TEXT_ROWS)
-                n, node, sigs, sketches = [], [], [], []
+                n, node, sketches = [], [], []
                 for _ in range(len(part)):
                     e = next(sets)
                     me = set_id(e) if len(e) else None
                     n.append(len(e))
                     node.append(me)
                     if me is None or me in seen:
-                        sigs.append(None)
                         sketches.append(None)
                     else:
                         seen.add(me)
-                        sigs.append(signatures(e, bands).view(np.int64))
+                        signed.append(signatures(e, bands))
+                        held += len(signed[-1])
                         sketches.append(sketch(e))
-                yield pa.RecordBatch.from_arrays([part, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "row", "n_shingles", "node", "sigs", "sketch"])
+                if held >= HEAVY * SIGNATURE_ROWS:  # counted apart from what comes after
+                    heavy, signed, held = np.union1d(heavy, often()), [], 0
+                yield pa.RecordBatch.from_arrays([part, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(part), pa.list_(pa.int64()))], names=names)
+        heavy = np.union1d(heavy, often())
+        if len(heavy):
+            last = [pa.nulls(1, part.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([heavy.view(np.int64)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(last, names=names)
+
+
+def _sign(batches, k: int, percent: int):
+    """(sig, node) of all signatures; only the first of equal sets in a task signs."""
+    bands, seen, held, rows = Bands(percent), set(), [], 0
+
+    def block():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in held]).view(np.int64)), pa.array(np.repeat([m for _, m in held], [len(x) for x, _ in held]), pa.int64())], names=["sig", "node"])
+
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for e in shingle_sets(batch.column(0), k):
+                me = set_id(e) if len(e) else None
+                if me is None or me in seen:
+                    continue
+                seen.add(me)
+                held.append((signatures(e, bands), me))
+                rows += len(held[-1][0])
+                if rows >= SIGNATURE_ROWS:
+                    yield block()
+                    held, rows = [], 0
+        if held:
+            yield block()
 
 
 def _near(batches, percent: int):
@@ -313,9 +352,11 @@ class Join:
         self.k, self.percent, self.spark = k, percent, docs.sparkSession
         self.scratch = Scratch(self.spark)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        signed = self.docs.mapInArrow(lambda it: tidy(_sign(it, k, percent)), f"doc_id {kind}, row long, n_shingles long, node long, sigs array<long>, sketch binary")
+        digests = self.docs.mapInArrow(lambda it: tidy(_digest(it, k, percent)), f"doc_id {kind}, row long, n_shingles long, node long, sketch binary, heavy array<long>")
         with _batches_of(self.spark, TEXT_ROWS):
-            self.signed = self.scratch.stage(signed, "sim-signed")
+            found = self.scratch.stage(digests, "sim-docs")
+        self.signed = found.where("heavy is null").drop("heavy")
+        self.heavy = self.scratch.stage(found.select(F.explode("heavy").alias("sig")).distinct(), "sim-heavy")
         self.sketches = self._sketches()
 
     def _sketches(self) -> DataFrame:
@@ -363,15 +404,20 @@ class Join:
         return out
 
     def groups(self) -> DataFrame:
-        """(sig, node, n) of signatures that several rows hold."""
-        rows = self.signed.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
-        often = self.scratch.stage(rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sim-often")
-        out = self.scratch.stage(rows.join(often, "sig").select("sig", "node", "n"), "sim-groups")
-        # signatures are done with: keep the narrow columns only
-        self.signed = self.scratch.stage(self.signed.drop("sigs"), "sim-docs")
-        self.sketches = self._sketches()
-        self.scratch.drop("sim-signed")
-        self.scratch.drop("sim-often")
+        """(sig, node, n) of signatures that at least two different sets have, which n rows hold."""
+        k, percent, group = self.k, self.percent, Window.partitionBy("sig")
+        rows = self.docs.select("text").mapInArrow(lambda it: tidy(_sign(it, k, percent)), "sig long, node long")
+        few = self.heavy.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        heavy = F.broadcast(self.heavy) if few else self.heavy
+        bounds = [f(x).alias(name) for f, x, name in ((F.min, "node", "low"), (F.max, "node", "high"), (F.count, "*", "n"))]
+        with _batches_of(self.spark, TEXT_ROWS):
+            light = rows.join(heavy, "sig", "left_anti")
+            light = light.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group), "n": F.count("*").over(group)})
+            out = self.scratch.stage(light.where("low <> high").select("sig", "node", "n"), "sim-groups")
+            if self.heavy.limit(1).count():
+                held = self.scratch.stage(rows.join(heavy, "sig", "left_semi"), "sim-held")
+                sums = held.groupBy("sig").agg(*bounds).where("low <> high").select("sig", "n")
+                out = out.unionByName(held.join(sums, "sig").select("sig", "node", "n"))
         return out
 
     def labels(self) -> DataFrame:
@@ -382,6 +428,7 @@ class Join:
         best = best.where("low <> high").select("sig", F.col("star.node").alias("star"))  # at least two different sets
         rows = self.scratch.stage(rows.distinct().join(best, "sig"), "sim-stars")
         self.scratch.drop("sim-groups")
+        self.scratch.drop("sim-held")
         pairs = self.near(rows.where("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v")))
         first = pairs.groupBy("v").agg(F.max_by("u", F.struct("times", "u")).alias("u"))
         links = self.links(first.select("u", "v"))
