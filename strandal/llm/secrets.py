@@ -3,14 +3,17 @@
 A token of an encoding's alphabet is suspicious when it looks drawn uniformly from that alphabet. Three
 statistics say so: chi-squared against the uniform distribution, the number of runs above and below
 the alphabet's middle, and the lag-1 serial correlation of symbol ranks. Under the null hypothesis the
-token is ordinary text or an identifier, whose symbol counts give a noncentral chi-squared with a
-noncentrality that grows with the length; so the p-value of an even histogram falls with the length,
-and short tokens prove little. Runs and correlation must not reject randomness. The p-values of all
-tokens in one text go through a Benjamini-Hochberg step at rate ``q``, with the tokens weighted by
-length. Discoveries are added as spans; pattern spans always stay.
-
-A null or empty text has no spans. Rows are independent: repeated rows get equal results, an empty
-table an empty result. Offsets are code points, ends exclusive.
+token is ordinary text or an identifier, whose symbols come with the frequencies that they have in the whole
+corpus (``symbol_excess`` counts them in one pass). That gives a noncentral chi-squared whose noncentrality
+grows with the length; so the p-value of an even histogram falls with the length, and short tokens prove
+little. Decimal numbers are tested too, but where the corpus uses digits evenly they prove nothing. Runs and
+correlation must not reject randomness. The p-values of all tokens in one text go through a
+Benjamini-Hochberg step at rate ``q``, with the tokens weighted by length. Discoveries are added as spans;
+pattern spans always stay.
+
+A null or empty text has no spans; very long texts are scanned whole. Rows are independent: repeated rows get
+equal results, an empty table an empty result. Equal starts are ordered by kind. Offsets are code points, ends
+exclusive. Columns named like the results (``_s_...``) are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table, tidy
+from .base import ship, slices, table, text_bytes, tidy
 
 #: The pattern kinds, in the order that breaks ties; fixed values.
 KINDS = ("assign", "access", "hex")
@@ -44,13 +48,37 @@ ENCODINGS = {
 METHOD_KINDS = tuple(f"random_{e}" for e in ENCODINGS)
 _ORDER = {k: i for i, k in enumerate((*KINDS, *METHOD_KINDS))}
 _RANK = {e: {c: i for i, c in enumerate(a)} for e, a in ENCODINGS.items()}
-#: A candidate has 20 or more symbols; decimal numbers alone are left out (identifiers, amounts, dates).
+#: A candidate has 20 or more symbols.
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 PIECE = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 FDR = 0.01
-#: Mean excess of sum(p_i^2) * k over 1 for ordinary identifiers, per symbol: letters of natural text repeat.
-TEXT_EXCESS = 0.75
+#: Rates of the random battery's runs and correlation tests: a random token passes both 99 times in 100.
+LEAST_P = 0.005
+
+
+def excess_of(counts) -> dict[str, float]:
+    """For each encoding, the excess of sum(p_i^2) * k over 1 of its k symbols by their counts (of 128 ASCII codes)."""
+    out = {}
+    for e, alphabet in ENCODINGS.items():
+        c = np.array([counts[ord(x)] for x in alphabet], float) + 1
+        out[e] = float(len(c) * ((c / c.sum()) ** 2).sum() - 1)
+    return out
+
+
+def _symbols(batches):
+    counts = np.zeros(128, np.int64)
+    for batch in batches:
+        for a, b in slices(batch.column(0)):
+            counts += np.bincount(text_bytes(batch.column(0).slice(a, b - a))[0], minlength=256)[:128]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(128)), pa.array(counts)], names=["code", "n"])
+
+
+def symbol_excess(df: DataFrame, text: str = "text") -> dict[str, float]:
+    """What ``scan`` takes as the null hypothesis, from the symbols of all texts. The driver gets 128 sums."""
+    ship(df.sparkSession)
+    rows = df.select(text).mapInArrow(lambda it: tidy(_symbols(it)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    counts = dict.fromkeys(range(128), 0) | {r.code: r.n for r in rows}
+    return excess_of(counts)
 
 
 def _normal_cdf(z: float) -> float:
@@ -63,7 +91,7 @@ def encoding_of(token: str) -> str | None:
     return next((e for e, rank in _RANK.items() if symbols <= rank.keys()), None)
 
 
-def battery(token: str, encoding: str) -> tuple[float, float, float]:
+def battery(token: str, encoding: str, excess: float) -> tuple[float, float, float]:
     """(p that ordinary text is so uniform, two-sided p of the runs test, of the serial correlation)."""
     ranks = [_RANK[encoding][c] for c in token.rstrip("=")]
     n, k = len(ranks), len(ENCODINGS[encoding])
@@ -72,7 +100,7 @@ def battery(token: str, encoding: str) -> tuple[float, float, float]:
         counts[r] = counts.get(r, 0) + 1
     chi = sum(c * c for c in counts.values()) * k / n - n
     # noncentral chi-squared by a normal: mean df + nc, variance 2 (df + 2 nc); sparse counts widen it
-    df, nc = k - 1, n * TEXT_EXCESS
+    df, nc = k - 1, n * excess
     p_text = _normal_cdf((chi - df - nc) / math.sqrt(2 * df * (n - 1) / n + 4 * nc))
     high = [2 * r >= k for r in ranks]
     a, b = sum(high), n - sum(high)
@@ -98,20 +126,15 @@ def _candidates(text: str):
                 yield piece.span()
 
 
-def random_spans(text: str, q: float = FDR) -> list[tuple[str, int, int]]:
+def random_spans(text: str, excess: dict[str, float], q: float = FDR) -> list[tuple[str, int, int]]:
     """Tokens that pass the battery, under false-discovery control within the text."""
     tried = []
     for start, end in _candidates(text):
         token = text[start:end]
-        if not _DIGIT.search(token) or not _LETTER.search(token):
-            continue
         if (e := encoding_of(token)) is None:
             continue
-        p, p_runs, p_serial = battery(token, e)
-        if min(p_runs, p_serial) >= 0.005:
-            tried.append((p, len(token), e, start, end))
-        else:
-            tried.append((1.0, len(token), e, start, end))
+        p, p_runs, p_serial = battery(token, e, excess[e])
+        tried.append((p if min(p_runs, p_serial) >= LEAST_P else 1.0, len(token), e, start, end))
     if not tried:
         return []
     # weights by length average one, so that long tokens, where the tests have power, get more of the rate
@@ -121,7 +144,7 @@ def random_spans(text: str, q: float = FDR) -> list[tuple[str, int, int]]:
     return [(f"random_{x[2]}", x[3], x[4]) for _, x in order[:last]]
 
 
-def find_secrets(text: str | None, q: float = FDR) -> tuple[list, list]:
+def find_secrets(text: str | None, excess: dict[str, float], q: float = FDR) -> tuple[list, list]:
     """(pattern spans, method spans), each (kind, start, end), by start and then kind."""
     if not text:
         return [], []
@@ -130,7 +153,7 @@ def find_secrets(text: str | None, q: float = FDR) -> tuple[list, list]:
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     key = lambda s: (s[1], _ORDER[s[0]])
-    return sorted(base, key=key), sorted(random_spans(text, q), key=key)
+    return sorted(base, key=key), sorted(random_spans(text, excess, q), key=key)
 
 
 def redact(text: str | None, spans) -> str | None:
@@ -148,12 +171,12 @@ def redact(text: str | None, spans) -> str | None:
 SCHEMA = "_s_text string, _s_n_assign long, _s_n_access long, _s_n_hex long, _s_base_sha256 string, _s_spans string"
 
 
-def _scan(batches, clean: bool):
+def _scan(batches, excess: dict[str, float], clean: bool):
     for batch in batches:
         rows = []
         for text in batch.column("text"):
             text = text.as_py()
-            base, extra = find_secrets(text)
+            base, extra = find_secrets(text, excess)
             both = sorted([*base, *extra], key=lambda s: (s[1], _ORDER[s[0]]))
             say = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
             n = [sum(s[0] == k for s in base) for k in KINDS]
@@ -165,17 +188,19 @@ def _scan(batches, clean: bool):
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(list(v), t) for v, t in zip(new, types)]], names=[*keep, *names])
 
 
-def scan(df: DataFrame, clean: bool = False) -> DataFrame:
+def scan(df: DataFrame, excess: dict[str, float], clean: bool = False) -> DataFrame:
     """``df`` (its text column must be ``text``) with the ``_s_`` columns; no shuffle, one batch in memory.
 
     With ``clean`` the redacted text comes as ``_s_text`` beside the original; else ``text`` is left out.
     """
     ship(df.sparkSession)
+    df = df.drop(*[x.split()[0] for x in SCHEMA.split(", ")])
     keep = [f for f in df.schema if f.name != "text" or clean]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return df.mapInArrow(lambda it: tidy(_scan(it, clean)), f"{head}, {SCHEMA}" if head else SCHEMA)
+    return df.mapInArrow(lambda it: tidy(_scan(it, excess, clean)), f"{head}, {SCHEMA}" if head else SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = scan(docs, symbol_excess(docs))
     return df.select("doc_id", *[F.col(f"_s_{c}").alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])

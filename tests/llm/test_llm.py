@@ -69,6 +69,50 @@ def test_similarity_against_brute_force(spark, k, percent):
     assert got == brute_groups(texts, k, percent)
 
 
+def template_docs(n):
+    """Copies of one template of 200 words with two words of their own, just below the threshold of op1."""
+    rng = random.Random(n)
+    base = prose(rng, 200)
+    return [edited(rng, base, 2) for _ in range(n)]
+
+
+def test_similarity_of_templates_grows_in_proportion(spark):
+    rows = {}
+    for n in (150, 300):
+        texts = template_docs(n)
+        join = similarity.Join(docs_of(spark, texts), "doc_id", "text", 4, 85)
+        seen = []
+        near = join.near
+        join.near = lambda pairs, near=near, seen=seen: [seen.append(pairs.count()), near(pairs)][1]
+        got = {r.doc_id: r.component_id for r in join.result().collect()}
+        join.scratch.drop()
+        assert got == {i: c for i, (_, c) in brute_groups(texts, 4, 85).items()}
+        rows[n] = sum(seen)
+    assert rows[300] < 3 * rows[150]
+
+
+def test_similarity_of_null_and_repeated_keys(spark):
+    rng = random.Random(9)
+    base = prose(rng, 80)
+    rows = [(None, base), (None, base), (5, edited(rng, base, 1)), (5, prose(rng, 40)), (3, edited(rng, base, 1)), (None, prose(rng, 30)), (8, None), (8, "")]
+    got = similarity.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles > 0, str(r.component_id)) for r in got) == sorted(
+        [("None", True, "3"), ("None", True, "3"), ("5", True, "3"), ("5", True, "5"), ("3", True, "3"), ("None", True, "None"), ("8", False, "8"), ("8", False, "8")]
+    )
+
+
+def regular_words(n=1024):
+    """Two different words whose polynomial hashes modulo 2**64 agree for every base."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_regular_words_differ(spark):
+    a, b = regular_words()
+    got = similarity.similarity_groups(docs_of(spark, [a, b, a + " x y z", b + " x y z"]), k=4, percent=85).collect()
+    assert sorted(r.component_id for r in got) == [0, 1, 2, 3]
+
+
 def test_similarity_of_nothing(spark):
     assert similarity.similarity_groups(docs_of(spark, [])).count() == 0
 
@@ -146,12 +190,69 @@ def test_language_of_odd_texts(spark):
     assert {r["_l_lang"] for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+PROSE = "the quick brown fox jumps over the lazy dog and counts 1234567890 small or large secrets of every day " * 40
+
+
+def prose_excess():
+    counts = dict.fromkeys(range(128), 0) | {ord(c): PROSE.count(c) for c in set(PROSE)}
+    return secrets.excess_of(counts)
+
+
 def test_secrets():
-    base, extra = secrets.find_secrets('é Token = "abc123456" AKIA' + "A1" * 8 + " " + "0af" * 8 + " pass=x")
+    excess = prose_excess()
+    base, extra = secrets.find_secrets('é Token = "abc123456" AKIA' + "A1" * 8 + " " + "0af" * 8 + " pass=x", excess)
     assert [s[0] for s in base] == ["assign", "access", "hex"] and base[0][1:] == (2, 20)
-    _, extra = secrets.find_secrets("plain words then kX9vB2qLr8Tz4WmP7cYn3HdJ6sFg1QaEuZ5x and internationalization_of_the_process2 again")
+    _, extra = secrets.find_secrets("plain words then kX9vB2qLr8Tz4WmP7cYn3HdJ6sFg1QaEuZ5x and internationalization_of_the_process2 again", excess)
     assert [s[0] for s in extra] == ["random_base64"]
-    assert secrets.find_secrets(None) == ([], []) and secrets.redact("ab secret", [("x", 3, 9)]) == "ab [secret]"
+    assert secrets.find_secrets(None, excess) == ([], []) and secrets.redact("ab secret", [("x", 3, 9)]) == "ab [secret]"
+
+
+def test_random_tokens_are_found_and_words_are_not():
+    """Keys without any context, letters alone among them, against compounds, paths, numbers and repeats of one symbol."""
+    rng, excess = random.Random(5), prose_excess()
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", secrets.ENCODINGS["base64"]]
+    for alphabet in alphabets:
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(24, 48))) for _ in range(200)]
+        hits = sum(any(a <= 10 and b >= 10 + len(k) - 2 for _, a, b in secrets.random_spans("some word " + k + " end", excess)) for k in keys)
+        assert hits >= 0.9 * len(keys)
+    plain = ["overtheslowlazydogscountingsecrets", "every-day-small-or-large-secrets", "a" * 40, "12345678901234567890123", "quick/brown/fox/over/the/lazy/dog", "ab" * 20]
+    assert not any(secrets.random_spans(f"see {p} here", excess) for p in plain)
+
+
+def brute_spans(text):
+    """The base patterns by plain scanning."""
+    out, low = [], text
+    for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(1)) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    for kind, order, first, rest, least in (("access", 1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", 2, "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(low):
+            if low.startswith(first, at) and at + len(first) < len(low) and low[at + len(first)] in rest:
+                end = at + len(first)
+                while end < len(low) and low[end] in rest:
+                    end += 1
+                if end - at >= least:
+                    out.append((at, order, kind, end))
+                at = end
+            else:
+                at += 1
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_secret_query(spark, tmp_path):
+    """op5 over a written table with nulls, empty, long and repeated texts and clashing columns."""
+    texts = [None, "", "token=abc12345 x", "token=abc12345 x", "passwd: short", "AKIA" + "B2" * 10, "deadbeef" * 4, "é secret='" + "q" * 9 + "' " + "word " * 50_000 + "api_key:zzzzzz1"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, _s_text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(got[i].spans.split(",")) | {""}
+    assert secrets.scan(df, prose_excess(), clean=True).columns.count("_s_text") == 1
+    assert secrets.scan(df.limit(0), secrets.symbol_excess(df.limit(0))).count() == 0
 
 
 def test_mixing(spark):
@@ -160,7 +261,7 @@ def test_mixing(spark):
     rows = [(i, rng.choice(["a", "b", "b", "b", None]), rng.randint(1, 50)) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
     plan = mixing.plan_mix(df, "size", "source", ["doc_id"])
-    out = mixing.apply_mix(df, plan, "source", ["doc_id"]).groupBy("source").agg(F.sum(F.col("size") * F.col("_m_copies")).alias("t"), F.first("_m_target").alias("g"), F.max("_m_copies").alias("m")).collect()
+    out = mixing.apply_mix(df, plan, "source", ["doc_id"], "size").groupBy("source").agg(F.sum(F.col("size") * F.col("_m_copies")).alias("t"), F.first("_m_target").alias("g"), F.max("_m_copies").alias("m")).collect()
     assert len(out) == 3 and all(abs(r.t - r.g) < 0.01 * r.g and r.m <= 3 for r in out)
     assert mixing.apply_mix(df.limit(0), mixing.plan_mix(df.limit(0), "size", "source", ["doc_id"]), "source", ["doc_id"]).count() == 0
 
