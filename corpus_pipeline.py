@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; all documents stay."""
-    clean = secrets.scan(_carried(docs, "text"), clean=True)
+    clean = secrets.scan(_carried(docs, "text"), secrets.symbol_excess(docs), clean=True)
     count = F.length("_s_text").cast(docs.schema["n_chars"].dataType)
     return clean.withColumn("row", F.col("row").withField("text", F.col("_s_text")).withField("n_chars", count)).select("row.*")
 
