@@ -11,32 +11,130 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OK, EMPTY, OVERFLOW, UNDERFLOW = 0, -1, 0x10000, 0x10001
-_LITERAL = "^[+-]?(0x[0-9a-fA-F]+|[0-9]+(\\.[0-9]*)?([eE][+-]?[0-9]+)?)"
+_LITERAL = "^([+-]?)(?:0[xX]([0-9a-fA-F]+)|([0-9]+)(?:(\\.[0-9]*)?(?:[eE]([+-]?[0-9]+))?))"
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def parse_number(s: Column, low: int, high: int) -> Column:
     """(status, value) of an integer, hexadecimal, decimal or exponent literal within a range.
 
-    Status: 0, -1 for an empty text, the 1-based position of a bad character, or over- and underflow.
+    Status: 0, -1 for an empty text, the 1-based position of a bad character, or over- and underflow. Whole
+    numbers are exact, hexadecimal ones wrap at 64 bits; a fraction is a double, its mantissa times a power of ten. The
+    value is a long, or a ``decimal(20,0)`` where the range goes beyond.
     """
-    lit = F.regexp_extract(s, _LITERAL, 0)
-    good = F.length(lit)
-    is_hex = lit.rlike("^[+-]?0x")
-    digits = F.regexp_replace(lit, "^[+-]?0x", "")
-    sign = F.when(lit.startswith("-"), -1).otherwise(1)
-    # mantissa digits as one fraction, then the power of ten, both in doubles
-    mantissa = F.regexp_extract(lit, "^[+-]?([0-9]+(?:\\.[0-9]*)?)", 1)
-    exponent = F.coalesce(F.nullif(F.regexp_extract(lit, "[eE]\\+?(-?[0-9]+)", 1), F.lit("")).try_cast("int"), F.lit(0))
-    plain = sign * mantissa.cast("double") * F.pow(F.lit(10.0), exponent)
-    value = F.when(is_hex, sign * F.conv(digits, 16, 10).cast("double")).otherwise(plain)
-    status = (
-        F.when(F.coalesce(F.length(s), F.lit(0)) == 0, EMPTY)
-        .when(good < F.length(s), good + 1)
-        .when(value > high, OVERFLOW)
-        .when(value < low, UNDERFLOW)
-        .otherwise(OK)
+    wide = T.DecimalType(38, 0)
+    bounds = [F.lit(Decimal(x)).cast(wide) for x in (low, high)]
+
+    def value(m):
+        negative, hexa, digits, fraction, exponent = (F.get(m, i) for i in range(1, 6))
+        whole = F.coalesce(digits.try_cast(wide), F.lit(Decimal(10) ** 37).cast(wide))
+        hexa = F.conv(F.right(hexa, F.lit(16)), 16, 10).cast(wide)
+        broken = (F.length(fraction) > 0) | (F.length(exponent) > 0)
+        power = F.coalesce(exponent.try_cast("int"), F.when(exponent.startswith("-"), -99999).otherwise(99999))
+        # past this, a double neither has more digits nor more range
+        scaled = F.coalesce(F.concat(digits, fraction).try_cast("double"), F.lit(0.0)) * F.pow(F.lit(10.0), F.when(F.length(exponent) > 0, F.least(F.greatest(power, F.lit(-400)), F.lit(400))).otherwise(0))
+        exact = F.when(F.length(F.get(m, 2)) > 0, hexa).otherwise(whole)
+        sign = F.when(negative == "-", -1).otherwise(1)
+        return F.struct(broken.alias("broken"), (sign * exact).cast(wide).alias("exact"), (sign * scaled).alias("scaled"))
+
+    def judged(v):
+        far = F.when(v["broken"], v["scaled"] > float(high)).otherwise(v["exact"] > bounds[1])
+        near = F.when(v["broken"], v["scaled"] < float(low)).otherwise(v["exact"] < bounds[0])
+        small, large = F.abs(v["scaled"]) < 9e15, F.abs(v["scaled"]) < 1e20  # from 2**53 on doubles are whole
+        cut = F.when(small, F.when(small, v["scaled"]).cast("long").cast(wide)).when(large, F.when(large, v["scaled"]).cast(wide))
+        out = F.when(v["broken"], cut).otherwise(v["exact"])
+        kind = "long" if -(1 << 63) <= low and high < 1 << 63 else "decimal(20,0)"
+        status = F.when(far, OVERFLOW).when(near, UNDERFLOW).otherwise(OK)
+        return F.struct(status.alias("status"), F.when(status == OK, out).try_cast(kind).alias("value"))
+
+    def of(lit):
+        groups = F.array(*[F.regexp_extract(lit, _LITERAL, i) for i in range(6)])
+        return _let(groups, lambda m: F.struct(F.length(F.get(m, 0)).alias("good"), _let(value(m), judged).alias("got")))
+
+    empty = F.coalesce(F.length(s), F.lit(0)) == 0
+    none = F.lit(None).cast("long" if -(1 << 63) <= low and high < 1 << 63 else "decimal(20,0)")
+    return F.when(empty, F.struct(F.lit(EMPTY).alias("status"), none.alias("value"))).otherwise(
+        _let(of(s), lambda x: F.when(x["good"] < F.length(s), F.struct((x["good"] + 1).alias("status"), none.alias("value"))).otherwise(x["got"]))
+    )
+
+
+def to_integer(s: Column, low: int = -(1 << 63), high: int = (1 << 63) - 1) -> Column:
+    """(status, value) of a whole number with blanks around it and a lower-case ``0x``: status 1 when bad, 2 beyond the range."""
+    text = F.btrim(s, F.lit(" \t"))
+    got = parse_number(text, low, high)
+    good = text.rlike("^-?(0x[0-9a-fA-F]+|[0-9]+)$")
+    return F.struct(F.when(~F.coalesce(good, F.lit(False)), 1).when(got["status"] != OK, 2).otherwise(0).alias("status"), F.when(good, got["value"]).alias("value"))
+
+
+def integer_text(x: Column) -> Column:
+    return x.cast("string")
+
+
+def float_text(x: Column) -> Column:
+    return F.printf(F.lit("%f"), x)
+
+
+def limits(kind: str) -> tuple[int, int]:
+    """Least and largest value of ``int8`` to ``uint64``."""
+    bits = int(kind.lstrip("uint"))
+    return (0, (1 << bits) - 1) if kind.startswith("u") else (-(1 << bits - 1), (1 << bits - 1) - 1)
+
+
+def interval_relation(left: Column, left_size: Column, right: Column, right_size: Column) -> Column:
+    """0 apart, 1 the left lies in the right, 2 the right in the left, 3 the left begins in the right and goes on, 4 the reverse."""
+    left_end, right_end = left + left_size, right + right_size
+    return (
+        F.when(left < right, F.when(left_end <= right, 0).when(right_end <= left_end, 2).otherwise(4))
+        .when(left == right, F.when(left_end <= right_end, 1).otherwise(2))
+        .otherwise(F.when(right_end <= left, 0).when(left_end <= right_end, 1).otherwise(3))
     )
-    return F.struct(status.alias("status"), F.when(status == OK, value.cast("long")).alias("value"))
+
+
+def hex_runs(s: Column) -> Column:
+    """Bytes of runs of 2, 4 or 8 hexadecimal digits, each little-endian; ``0x`` before a run is dropped. Null with other runs."""
+    runs = F.regexp_extract_all(s, F.lit("(?:0x)?([0-9A-Fa-f]+)"), 1)
+    pair = lambda r: F.array_join(F.reverse(F.regexp_extract_all(r, F.lit("(..)"), 1)), "")
+    good = F.forall(runs, lambda r: F.length(r).isin(2, 4, 8))
+    return F.when(good, F.unhex(F.array_join(F.transform(runs, pair), "")))
+
+
+def _places() -> Column:
+    return F.array(*[F.lit(1 << j) for j in range(8)])
+
+
+def pack_bits(bits: Column) -> Column:
+    """Bytes of an array of 0 and 1, the first bit lowest."""
+    n = F.size(bits)
+    byte = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda a, j: a + F.coalesce(F.get(bits, i * 8 + j), F.lit(0)) * F.get(_places(), j))
+    whole = F.transform(F.sequence(F.lit(0), F.ceil(n / 8).cast("int") - 1), lambda i: F.lpad(F.hex(byte(i).cast("long")), 2, "0"))
+    return F.when(n > 0, F.unhex(F.array_join(whole, ""))).otherwise(F.lit(b""))
+
+
+def unpack_bits(data: Column) -> Column:
+    """The bits of bytes, the lowest first."""
+    text = F.hex(data)
+    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    bits = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.pmod(F.floor(byte(i) / F.get(_places(), j)), F.lit(2))).cast("int")))
+    return F.when(F.octet_length(data) > 0, F.flatten(bits)).otherwise(F.array().cast("array<int>"))
+
+
+def bit_set(members: Column) -> Column:
+    """A set of small numbers (0 to 255) as a sorted array; unions, intersections and differences are those of arrays."""
+    return F.array_sort(F.array_distinct(F.filter(members, lambda x: (x >= 0) & (x < 256))))
+
+
+def ip_text(address: Column) -> Column:
+    """Dotted decimal text of 4 bytes in storage order."""
+    return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.conv(F.substring(F.hex(address), 2 * i + 1, F.lit(2)), 16, 10)), ".")
+
+
+def mac_text(address: Column) -> Column:
+    """Colon-separated text of 6 bytes in storage order."""
+    return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(6)]), lambda i: F.lower(F.substring(F.hex(address), 2 * i + 1, F.lit(2)))), ":")
 
 
 def narrow(x: Column, low: int, high: int) -> Column:
@@ -78,19 +176,61 @@ def stretch(data: Column, size: int, algorithm: str = "md5") -> Column:
     return F.substring(out, 1, size)
 
 
+def digest_again(data: Column, times: int = 1, algorithm: str = "md5") -> Column:
+    """The digest, and ``times`` times the digest of that."""
+    return digest(data, algorithm, 1 + times)
+
+
+def spread_digest(data: Column, size: int, rounds: int, algorithm: str = "md5") -> Column:
+    """``size`` bytes over which the digests of all rounds are written one after another, round and round."""
+    width = 16 if algorithm == "md5" else 32
+    digests = [digest(data, algorithm, r) for r in range(1, rounds + 1)]
+    if size <= width:
+        return F.substring(digests[-1], 1, size)
+    written = width * rounds
+    line = F.concat(*digests)
+    if written <= size:
+        return F.concat(line, F.lit(bytes(size - written)))
+    last = written % size  # the place of the next write
+    tail = F.substring(line, written - size + 1, size)  # the last bytes written, the oldest first, which is at `last`
+    return F.concat(F.substring(tail, size - last + 1, last), F.substring(tail, 1, size - last))
+
+
+_FNV_START, _FNV_FACTOR = np.uint64(2166136261), np.uint64(16777619)
+
+
+def _fnv(rows: list[bytes | None]) -> list[Decimal | None]:
+    """Byte places in turn, all rows at once; rows that have ended drop out."""
+    order = sorted((i for i, r in enumerate(rows) if r is not None), key=lambda i: -len(rows[i]))
+    sizes = np.array([len(rows[i]) for i in order], np.int64)
+    at = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(order) else np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(rows[i] for i in order), np.uint8)
+    h = np.full(len(order), _FNV_START)
+    for j in range(int(sizes[0]) if len(order) else 0):
+        n = int(np.searchsorted(-sizes, -j, "left"))
+        h[:n] = h[:n] * _FNV_FACTOR ^ data[at[:n] + j]
+    out: list = [None] * len(rows)
+    for i, x in zip(order, h.tolist()):
+        out[i] = Decimal(x)
+    return out
+
+
 @F.pandas_udf(T.DecimalType(20, 0))
 def fnv64(data: pd.Series) -> pd.Series:
     """Multiply, then exclusive-or, over the bytes, in 64 bits; start and factor are those of the 32-bit FNV hash."""
-    out = []
-    for raw in data:
-        if raw is None:
-            out.append(None)
-            continue
-        h = 2166136261
-        for b in raw if isinstance(raw, bytes) else str(raw).encode():
-            h = ((h * 16777619) & 0xFFFFFFFFFFFFFFFF) ^ b
-        out.append(Decimal(h))
-    return pd.Series(out)
+    return pd.Series(_fnv([None if r is None else r if isinstance(r, bytes) else str(r).encode() for r in data]), dtype=object)
+
+
+@F.pandas_udf(T.DecimalType(20, 0))
+def fnv64_folded(text: pd.Series) -> pd.Series:
+    """The same over the upper-cased text's UTF-16 units, so that case doesn't matter."""
+    return pd.Series(_fnv([None if t is None else t.upper().encode("utf-16-le", "surrogatepass") for t in text]), dtype=object)
+
+
+def zero_pad(data: Column, block: int = 16) -> Column:
+    """Bytes filled up with zeros to whole blocks."""
+    missing = F.pmod(-F.octet_length(data), F.lit(block))
+    return F.concat(data, F.unhex(F.repeat(F.lit("00"), missing)))
 
 
 def frame(payload: Column) -> Column:
@@ -106,9 +246,10 @@ def _swap4(b: Column) -> Column:
 
 def unframe(framed: Column) -> Column:
     """(ok, payload): size and digest are checked; a size of 0 needs no digest."""
-    size = F.conv(F.hex(_swap4(F.substring(framed, 1, 4))), 16, 10).cast("int")
-    payload = F.substring(framed, F.lit(21), size)
-    ok = (F.octet_length(payload) == size) & ((size == 0) | (F.hex(F.substring(framed, 5, 16)) == F.upper(F.md5(payload))))
+    size = F.conv(F.hex(_swap4(F.substring(framed, 1, 4))), 16, 10).cast("long")
+    # a size that no payload has is as wrong as any other
+    payload = F.substring(framed, F.lit(21), F.least(size, F.octet_length(framed).cast("long")).cast("int"))
+    ok = (F.octet_length(framed) >= 20) & (F.octet_length(payload) == size) & ((size == 0) | (F.hex(F.substring(framed, 5, 16)) == F.upper(F.md5(payload))))
     return F.struct(ok.alias("ok"), F.when(ok, payload).alias("payload"))
 
 
@@ -133,7 +274,12 @@ def decrypt(data: Column, key: Column, mode: str = "ECB", iv: Column | None = No
 
 @F.pandas_udf(T.BinaryType())
 def xor(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else (np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)[: len(x)]).tobytes() for x, y in zip(a, b)])
+    rows = [None if x is None or y is None else (bytes(x), bytes(y)[: len(x)]) for x, y in zip(a, b)]
+    whole = [r for r in rows if r is not None]
+    both = np.frombuffer(b"".join(x for x, _ in whole), np.uint8) ^ np.frombuffer(b"".join(y for _, y in whole), np.uint8)
+    data, ends = both.tobytes(), np.cumsum([len(x) for x, _ in whole]).tolist()
+    parts = iter([data[i:j] for i, j in zip([0, *ends], ends)])
+    return pd.Series([None if r is None else next(parts) for r in rows], dtype=object)
 
 
 def counter_mode(data: Column, key: Column, iv: Column) -> Column:

@@ -78,12 +78,22 @@ def same_text(a: Column, b: Column) -> Column:
     return F.collate(a, "UTF8_LCASE") == F.collate(b, "UTF8_LCASE")
 
 
+def _escapes(s: Column, known: dict[str, str]) -> Column:
+    """Each backslash and the character behind it, from left to right: a known sign, or the character itself."""
+    signs = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    parts = F.regexp_extract_all(s, F.lit(r"(?s)[^\\]+|\\.|\\"), 0)
+    one = lambda x: F.when(~x.startswith("\\") | (F.length(x) < 2), x).otherwise(F.coalesce(F.try_element_at(signs, F.substring(x, 2, 1)), F.substring(x, 2, 1)))
+    return F.array_join(F.transform(parts, one), "")
+
+
 def unescape(s: Column) -> Column:
     """Backslash escapes ``t r n f a b``; any other escaped character stands for itself."""
-    hide = F.replace(s, F.lit("\\\\"), F.lit(""))
-    for c, to in (("t", "\t"), ("r", "\r"), ("n", "\n"), ("f", "\f"), ("a", "\a"), ("b", "\b")):
-        hide = F.replace(hide, F.lit("\\" + c), F.lit(to))
-    return F.replace(F.replace(hide, F.lit("\\"), F.lit("")), F.lit(""), F.lit("\\"))
+    return _escapes(s, {"t": "\t", "r": "\r", "n": "\n", "f": "\f", "a": "\a", "b": "\b"})
+
+
+def json_unescape(s: Column) -> Column:
+    """Backslash escapes ``t r n f b`` and signs; there are no ``u`` escapes, so ``\\u0041`` reads as ``u0041``."""
+    return _escapes(s, {"t": "\t", "r": "\r", "n": "\n", "f": "\f", "b": "\b"})
 
 
 def json_escape(s: Column) -> Column:
@@ -123,3 +133,124 @@ def known_only(s: Column, alphabet: str) -> Column:
 
 def unknown_only(s: Column, alphabet: str) -> Column:
     return F.regexp_replace(s, _quote(alphabet), "")
+
+
+def concat(*parts) -> Column:
+    """Parts behind one another; a null is empty."""
+    return F.concat(*[F.coalesce(p if isinstance(p, Column) else F.lit(p), F.lit("")) for p in parts])
+
+
+def slice_bytes(s: Column, start: int, n: int) -> Column:
+    """``n`` bytes from a 0-based place; null where there aren't as many."""
+    raw = F.encode(s, "UTF-8")
+    return F.when(F.octet_length(raw) >= start + n, F.substring(raw, start + 1, n))
+
+
+def slice_chars(s: Column, start: int, n: int) -> Column:
+    return F.substring(s, start + 1, n)
+
+
+def find_text(s: Column, piece: str) -> Column:
+    """The piece where the text holds it, else null."""
+    return F.when(F.contains(s, F.lit(piece)), F.lit(piece))
+
+
+def from_text(s: Column, piece: str) -> Column:
+    """From the piece's first occurrence to the end; null without one."""
+    return F.when(F.contains(s, F.lit(piece)), F.substring(s, F.locate(piece, s), F.length(s)))
+
+
+def replace_text(s: Column, piece: str, by: str) -> Column:
+    """All occurrences, from left to right."""
+    return F.replace(s, F.lit(piece), F.lit(by)) if piece else s
+
+
+def order_bytes(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by bytes as signed numbers, then by length."""
+    # a byte over 0x7F is below all others: flipping the first digit's upper bit orders texts of digits that way
+    signed = lambda s: F.array_join(F.transform(F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit("(..)"), 1), lambda x: F.concat(F.translate(F.substring(x, 1, 1), "0123456789ABCDEF", "89ABCDEF01234567"), F.substring(x, 2, 1))), "")
+    return F.when(signed(a) < signed(b), -1).when(signed(a) > signed(b), 1).otherwise(0)
+
+
+def upper(s: Column) -> Column:
+    return F.upper(s)
+
+
+def lower(s: Column) -> Column:
+    return F.lower(s)
+
+
+def utf8_check(data: Column) -> Column:
+    """(valid, text): whether bytes are UTF-8, and the text of their longest valid head."""
+    whole = F.hex(data)
+    # well-formed sequences, as hexadecimal digits
+    one = "[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])T|E0[AB][0-9A-F]T|E[1-9A-CEF]TT|ED[89][0-9A-F]T|F0[9AB][0-9A-F]TT|F[1-3]TTT|F48[0-9A-F]TT".replace("T", "[89AB][0-9A-F]")
+    head = F.regexp_extract(whole, f"^(?:{one})*", 0)
+    return F.struct((F.length(head) == F.length(whole)).alias("valid"), F.decode(F.unhex(head), "UTF-8").alias("text"))
+
+
+def to_utf16(s: Column) -> Column:
+    return F.encode(s, "UTF-16LE")
+
+
+def from_utf16(data: Column) -> Column:
+    return F.decode(data, "UTF-16LE")
+
+
+def from_code_page(data: Column, page: str = "cp1251") -> Column:
+    """Text of bytes in a single-byte code page, by a table of its 256 characters; bytes without one become U+FFFD."""
+    table = F.array(*[F.lit(bytes([i]).decode(page, "replace")) for i in range(256)])
+    codes = F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1), lambda x: F.element_at(table, F.conv(x, 16, 10).cast("int") + 1))
+    return F.array_join(codes, "")
+
+
+def to_code_page(s: Column, page: str = "koi8_r") -> Column:
+    """Bytes of a text in a single-byte code page; characters that it lacks become ``?``."""
+    pairs = [(c, f"{i:02X}") for i in range(256) if (c := bytes([i]).decode(page, "replace")) != "\ufffd"]
+    table = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return F.unhex(F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("3F"))), ""))
+
+
+def join_path(folder: Column, name: Column) -> Column:
+    """With one slash between; the folder may end in either kind of slash, or be empty."""
+    return F.when(F.coalesce(F.length(folder), F.lit(0)) == 0, name).when(folder.rlike(r"[/\\]$"), F.concat(folder, name)).otherwise(F.concat(folder, F.lit("/"), name))
+
+
+def is_base_name(path: Column) -> Column:
+    return ~path.rlike(r"[/\\]")
+
+
+def column_of(s: Column, offset: Column) -> Column:
+    """1-based column of a 0-based offset; a tab counts 4."""
+    head = F.element_at(F.split(F.substring(s, F.lit(1), offset), "\n"), -1)
+    return F.length(head) + 3 * (F.length(head) - F.length(F.replace(head, F.lit("\t"), F.lit("")))) + 1
+
+
+def is_identifier(s: Column, dash: bool = False) -> Column:
+    """Letters, digits, underscores and all characters beyond ASCII, and dashes if they count."""
+    return s.rlike("^[0-9A-Za-z_\\x{80}-\\x{10FFFF}" + ("-" if dash else "") + "]+$")
+
+
+def repeat(c: str, n: Column) -> Column:
+    return F.repeat(F.lit(c), n.cast("int"))
+
+
+def pad_right(s: Column, n: int, fill: str = " ") -> Column:
+    """Filled up to ``n`` characters; longer texts stay whole."""
+    return F.when(F.length(s) >= n, s).otherwise(F.rpad(s, n, fill))
+
+
+def map_get(m: Column, name: str, default=None) -> Column:
+    """A map's value by name, ignoring case."""
+    found = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name.lower())
+    value = F.get(found, 0)["value"]
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
+def map_has(m: Column, name: str) -> Column:
+    return F.exists(F.map_keys(m), lambda k: F.lower(k) == name.lower())
+
+
+def collapse_all_spaces(s: Column) -> Column:
+    """As ``collapse_spaces``, and without a leading space."""
+    return collapse_spaces(F.regexp_replace(s, "^ ", ""))

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries, by name."""
 
+from . import documents
+
 SQL = {
     "bigram_counts": """
         SELECT bigram, count(*) AS n
@@ -109,3 +111,5 @@ SQL = {
         FROM part
     """,
 }
+
+SQL |= documents.SQL

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, strings, times
 from ..operators import ngrams
 from ..sources import dialects
+from . import documents
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
 DIGITS = "0123456789"
@@ -196,3 +197,4 @@ QUERIES = {f.__name__: f for f in (
     bigram_counts, string_edits, string_splits, string_joins, string_folds, string_escapes, path_parts, text_lines, space_collapse, number_parsing, number_formats, hash_digests, hash_fnv, cipher_round_trips, framed_payloads,
     time_formats, time_parsing, json_path_get, json_kinds, loose_config, tree_differences, ini_sections, variable_expansion, command_words, ngram_counts, ngram_probabilities, ideal_code_bits, array_edits,
 )}
+QUERIES |= documents.QUERIES
