@@ -231,3 +231,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], rows.schema))
     return read_back(format_records(rows, "conv_id", F.col("turn"), F.struct("role", "text")))
+
+
+#: The digests and lengths of what the template must say when it is read back.
+SQL = r"""
+    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+         s AS (SELECT *, '<|turn|>' || role || chr(10) || regexp_replace(text, '([<\[])(\\*)(\|(?:turn|end|im_start|im_end|endoftext|startoftext|system|user|assistant)\|>|/?s>|<SYS>>|</SYS>>|/?INST\])', '\1\2\\\3', 'g') || '<|end|>' || chr(10) AS segment FROM r),
+         g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, segment) AS told,
+                      coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, segment) FILTER (WHERE role = 'assistant'), '') AS loss, sum(length(segment))::BIGINT AS formatted_chars FROM s GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""

@@ -134,3 +134,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in base], failed.alias("base_failed"), (~failed & F.col("_q_kept")).alias("kept"), F.array_join("_q_broken", ",").alias("broken"))
+
+
+def sql(rules=RULES) -> str:
+    """The query in DuckDB's SQL, with the thresholds of the same table."""
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
+    of = {
+        "n_words": "n_words", "mean_word": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "n_words"), "stop_ratio": ratio("n_stop", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "repeat_ratio": ratio("n_repeat_words", "n_words"), "bang_ratio": ratio("n_bang", "n_words"), "upper_ratio": ratio("n_upper", "word_chars"), "list_line_ratio": ratio("n_list", "n_lines"),
+    }
+    bad = []
+    for r in rules:
+        tests = [f"{of[r.metric]} < {r.low!r}"] * (r.low is not None) + [f"{of[r.metric]} > {r.high!r}"] * (r.high is not None)
+        bad.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.metric}' END")
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(STOP_WORDS)))
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+             w AS (SELECT doc_id, body, list_filter(string_split_regex(body, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS ws,
+                          list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\v\\f\\r]')) AS ls FROM t),
+             tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+             rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+             cov AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM rep, (VALUES (0), (1), (2)) o(d) GROUP BY doc_id),
+             c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop,
+                          len(list_filter(ws, lambda x: suffix(x, '!!')))::BIGINT AS n_bang, len(regexp_extract_all(body, '\\p{{Lu}}'))::BIGINT AS n_upper,
+                          len(list_filter(ls, lambda x: ltrim(x)[1] IN ('-', '*', '•', '|')))::BIGINT AS n_list FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+             v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter([{", ".join(bad)}], lambda x: x IS NOT NULL), ',') AS broken FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM v
+    """

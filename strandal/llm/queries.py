@@ -17,4 +17,4 @@ QUERIES = {
     "op10_fingerprints": fingerprint.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op3_quality_rules": quality.sql(), "op8_warc_packages": warc.SQL}

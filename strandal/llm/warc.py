@@ -7,8 +7,8 @@ members, reads the index by range and then the records by ranges of up to ``BLOC
 
 Of records with equal payloads of at least ``LEAST`` bytes, the one with the smallest page_id is the
 response and others are revisits that refer to it; rows that share that smallest page_id are all
-responses. A null payload is empty. A null page_id sorts last and is kept. An empty table gives an
-empty result. Packages are named by a random id and listed in a table that Spark commits, so the files
+responses. A null payload is empty. A null page_id sorts last and is kept. Ids are whole numbers. An empty table gives an
+empty result. Columns other than the three named are not read. Packages are named by a random id and listed in a table that Spark commits, so the files
 of failed or repeated task attempts are never read.
 """
 
@@ -50,7 +50,10 @@ def plan_records(df: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     first = rows.where(big).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("digest", "first_id")
     first = stage(first, "warc-first")
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(first) if few else first, "digest", "left")
+    # small payloads repeat most and never have a match: each gets a key of its own, so that no task gets them all
+    key = F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    first = first.withColumnRenamed("digest", "_w_key")
+    rows = rows.withColumn("_w_key", key).join(F.broadcast(first) if few else first, "_w_key", "left")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -257,3 +260,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = plan_records(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     packages = write_packages(records, new_path(spark, "warc"))
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Any package of records that is read back says this.
+SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+         d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+"""
