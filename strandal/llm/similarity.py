@@ -433,18 +433,17 @@ class Join:
         first = pairs.groupBy("v").agg(F.max_by("u", F.struct("times", "u")).alias("u"))
         links = self.links(first.select("u", "v"))
         found = self.joined(links)
-        rest = self.across(pairs.join(first, ["u", "v"], "left_anti"), found)
-        links, found = self.with_more(links, found, self.links(self.scratch.stage(rest, "sim-rest")))
-        # Groups that still hold several components.
+        # Further pairs with the stars across components, and groups that still hold several components.
+        rest = self.across(pairs.join(first, ["u", "v"], "left_anti"), found).select("u", "v")
         named = rows.join(found, "node", "left").withColumn("l", F.coalesce("label", "node")).drop("label")
         open_ = named.groupBy("sig").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("sig")
         # stars of one component stand for one centre, so that a cluster's many groups share it
         named = named.join(open_, "sig").join(found.select(F.col("node").alias("star"), F.col("label").alias("c")), "star", "left")
-        rest = self.scratch.stage(named.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", "l"), "sim-open")
+        opened = self.scratch.stage(named.select("sig", F.coalesce("c", "star").alias("c"), "node", "n", "l"), "sim-open")
         self.scratch.drop("sim-stars")
-        near = self.near(self.small_groups(rest))
-        links, found = self.with_more(links, found, self.links(near))
-        return self.large_groups(rest, links, found)
+        near = self.near(self.small_groups(opened)).select("u", "v").unionByName(rest).distinct()
+        links, found = self.with_more(links, found, self.links(self.scratch.stage(near, "sim-pairs")))
+        return self.large_groups(opened, links, found)
 
     def with_more(self, links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links and components with further links, which may be none."""
@@ -484,7 +483,7 @@ class Join:
         heads = heads.join(close, ["c", "e"]).withColumn("sure", F.col("w") + F.col("mw") <= bonus)
         heads = self.scratch.stage(heads, "sim-shared")
         certain = heads.where("sure and x <> mx").select(F.col("mx").alias("u"), F.col("x").alias("v")).distinct()
-        links, found = self.with_more(links, found, self.scratch.stage(certain, "sim-certain"))
+        certain = self.scratch.stage(self.across(certain, found), "sim-certain")
         names = found.select(F.col("node").alias("x"), F.col("label").alias("l"))
         heads = heads.where("at >= 0").join(names, "x", "left").withColumn("l", F.coalesce("l", "x"))
         other = heads.select("c", "e", F.col("x").alias("y"), F.col("d").alias("f"), F.col("size").alias("other"), F.col("l").alias("m"), F.col("at").alias("bt"), F.col("sure").alias("sure2"))
@@ -492,7 +491,7 @@ class Join:
         ahead = f"2 * least(d - at, f - bt) >= d + f - {most}"
         pairs = heads.where("short").join(other, ["c", "e"]).where(f"l <> m and not (sure and sure2) and (d < f or d = f and x <> y) and {ahead}")
         near = self.near(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
-        return self.with_more(links, found, self.links(near))[1]
+        return self.with_more(links, found, self.links(near).unionByName(certain))[1]
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, the document itself included."""
