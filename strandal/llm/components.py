@@ -18,16 +18,14 @@ def _stars(now: DataFrame) -> bool:
     return not ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 or a > 0 and b > 0").limit(1).count()
 
 
-def components(edges: DataFrame, stage, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stage) -> DataFrame:
     """(node, label): the smallest node of each component, for every node that has an edge.
 
     ``edges`` has columns ``u`` and ``v`` of one ordered type; loops, repeats and nulls are ignored.
     ``stage(df, tag)`` writes a table and reads it back.
     """
     now = stage(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "cc")
-    for _ in range(most_rounds):
-        if _stars(now):
-            break
+    while not _stars(now):
         # u > v always. Large star: larger neighbours of a node go to its smallest neighbour or itself.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
