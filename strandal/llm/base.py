@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``, as a Java and Python class.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -119,6 +120,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def schema_with(fields: list[T.StructField], more: str) -> T.StructType:
+    """Carried fields, whatever names they or fields inside them have, and those of the DDL string ``more``."""
+    return T.StructType([*fields, *T.StructType.fromDDL(more)]).toNullable()
+
+
 def release() -> None:
     """Return freed memory to the system: Python workers live on between stages."""
     pa.default_memory_pool().release_unused()

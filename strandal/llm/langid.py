@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table, tidy
+from .base import schema_with, ship, table, tidy
 
 SAMPLE_CHARS = 24_000
 WINDOW_CHARS = 400
@@ -267,8 +267,8 @@ def identify(df: DataFrame, samples: dict[str, str], text: str = "text", keep_te
     spark, df = df.sparkSession, df.drop(*OUT)
     ship(spark)
     shared = spark.sparkContext.broadcast(Model(samples))  # some 50 bytes for each character of the samples
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text)
-    return df.mapInArrow(lambda it: tidy(_predict(it, shared, text, keep_text)), f"{head}, _l_lang string, _l_score double, _l_rate double")
+    keep = [f for f in df.schema if keep_text or f.name != text]
+    return df.mapInArrow(lambda it: tidy(_predict(it, shared, text, keep_text)), schema_with(keep, "_l_lang string, _l_score double, _l_rate double"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, slices, table, text_bytes, tidy
+from .base import schema_with, ship, slices, table, text_bytes, tidy
 
 #: The pattern kinds, in the order that breaks ties; fixed values.
 KINDS = ("assign", "access", "hex")
@@ -196,8 +196,7 @@ def scan(df: DataFrame, excess: dict[str, float], clean: bool = False) -> DataFr
     ship(df.sparkSession)
     df = df.drop(*[x.split()[0] for x in SCHEMA.split(", ")])
     keep = [f for f in df.schema if f.name != "text" or clean]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return df.mapInArrow(lambda it: tidy(_scan(it, excess, clean)), f"{head}, {SCHEMA}" if head else SCHEMA)
+    return df.mapInArrow(lambda it: tidy(_scan(it, excess, clean)), schema_with(keep, SCHEMA))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, slices, stage, table, text_bytes, tidy, word_hashes
+from .base import columns_of, schema_with, ship, slices, stage, table, text_bytes, tidy, word_hashes
 
 SPACE_BITS = 20
 GRADES = 3
@@ -166,13 +166,13 @@ def _score(batches, shared, text: str):
 
 def score(df: DataFrame, model, text: str = "text") -> DataFrame:
     """``df`` without its text, plus ``_t_severity`` (expected grade) and ``_t_p`` (probability of any toxicity)."""
+    df = df.drop("_t_severity", "_t_p")
     keep = [f for f in df.schema if f.name != text]
     if model is None:
-        return df.select(*[f.name for f in keep], F.lit(0.0).alias("_t_severity"), F.lit(0.0).alias("_t_p"))
+        return df.select(*columns_of(df.drop(text)), F.lit(0.0).alias("_t_severity"), F.lit(0.0).alias("_t_p"))
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # 2**SPACE_BITS weights at most
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return df.mapInArrow(lambda it: tidy(_score(it, shared, text)), f"{head}, _t_severity double, _t_p double")
+    return df.mapInArrow(lambda it: tidy(_score(it, shared, text)), schema_with(keep, "_t_severity double, _t_p double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
