@@ -16,7 +16,7 @@ replaced; all others are untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,28 +61,30 @@ def _descend(df: DataFrame, size: str, source: str, left: dict, low: dict) -> di
     """For each source of ``low``: (boundary cell, its size), the first cell from ``low`` on that the budget can't take whole.
 
     Only rows that alone fit in what was ``left`` count. ``left`` is reduced by all cells before the boundary.
-    Level by level, only rows in the cell that holds it are summed in finer buckets.
+    Level by level, only rows in the cell that holds it are summed in finer buckets. A level is one query whatever the
+    number of partitions (``toLocalIterator`` runs one for each); one row per source comes to the driver.
     """
     prefix, found, most = dict.fromkeys(low, 0), {}, {k: int(left[k]) for k in low}
+    before = Window.partitionBy("_m_key").orderBy("_m_cell").rowsBetween(Window.unboundedPreceding, -1)
     for level in range(LEVELS):
-        fields = [("_m_prefix", T.LongType()), ("_m_low", T.LongType()), ("_m_most", T.LongType())]
-        edge = _table(df.sparkSession, [(k, prefix[k], low[k], most[k]) for k in prefix], fields)
+        fields = [("_m_prefix", T.LongType()), ("_m_low", T.LongType()), ("_m_most", T.LongType()), ("_m_left", T.DoubleType())]
+        edge = _table(df.sparkSession, [(k, prefix[k], low[k], most[k], left[k]) for k in prefix], fields)
         rows = df.join(edge, df[source].eqNullSafe(edge["_m_key"])).where((_cell(BITS * LEVELS) >= F.col("_m_low")) & (F.col(size) <= F.col("_m_most")))
         if level:
             rows = rows.where(_cell(BITS * level) == F.col("_m_prefix"))
-        sums: dict = {}
-        for k, b, n in rows.groupBy(source, _cell(BITS * (level + 1)).alias("b")).agg(F.sum(size)).toLocalIterator():
-            sums.setdefault(k, []).append((b, n or 0))
+        sums = rows.groupBy("_m_key", _cell(BITS * (level + 1)).alias("_m_cell")).agg(F.sum(size).alias("_m_sum"), F.max("_m_left").alias("_m_left"))
+        sums = sums.withColumn("_m_before", F.coalesce(F.sum("_m_sum").over(before), F.lit(0)))
+        over = F.when(F.col("_m_before") + F.col("_m_sum") > F.col("_m_left"), F.struct("_m_cell", "_m_sum", "_m_before"))
+        ends = {k: (first, n) for k, first, n in sums.groupBy("_m_key").agg(F.min(over), F.sum("_m_sum")).collect()}
         for k in list(prefix):
-            for b, n in sorted(sums.get(k, [])):
-                if n > left[k]:
-                    prefix[k] = b
-                    found[k] = b, n
-                    break
-                left[k] -= n
+            first, n = ends.get(k, (None, 0))
+            if first:
+                prefix[k], here, n = first
+                found[k] = prefix[k], here
             else:  # all that remains fits
                 del prefix[k]
                 found[k] = 1 << BITS * LEVELS, 0
+            left[k] -= n
         if not prefix:
             break
     return found
@@ -92,8 +94,7 @@ def plan_mix(df: DataFrame, size: str, source: str, hash_of: list[str], weights=
     """One row per source: its size, target, whole repeats and hash ranges. ``df`` needs sizes, not texts.
 
     Every row is taken ``target // size`` times, and rows in the source's hash ranges, up to the range's largest
-    size, once more. The driver holds one row per source and, while thresholds are refined, at most
-    ``2**BITS`` sums for each source; sources are names that someone gave, so they don't grow with rows.
+    size, once more. The driver holds one row per source; sources are names that someone gave, so they don't grow with rows.
     """
     df = df.drop(*WORKING).withColumn("_m_hash", F.xxhash64(*hash_of))
     totals = {r[0]: r[1] or 0 for r in df.groupBy(source).agg(F.sum(size)).collect()}
@@ -126,7 +127,7 @@ def plan_mix(df: DataFrame, size: str, source: str, hash_of: list[str], weights=
     return _table(df.sparkSession, [(k, totals[k], targets[k], whole[k], ranges[k]) for k in totals], fields)
 
 
-WORKING = ["_m_hash", "_m_key", "_m_source_size", "_m_target", "_m_whole", "_m_ranges", "_m_copies", "_m_prefix", "_m_low", "_m_most"]
+WORKING = ["_m_hash", "_m_key", "_m_source_size", "_m_target", "_m_whole", "_m_ranges", "_m_copies", "_m_prefix", "_m_low", "_m_most", "_m_left", "_m_cell", "_m_sum", "_m_before"]
 
 
 def apply_mix(df: DataFrame, plan: DataFrame, source: str, hash_of: list[str], size: str = "size") -> DataFrame:

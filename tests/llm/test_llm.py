@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandal.llm import chat, components, fingerprint, langid, mixing, packing, quality, secrets, similarity, toxicity, warc
-from strandal.llm.base import stage
+from strandal.llm.base import session_conf, stage
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long, extra int, value string"
 WORDS = [f"w{i}" for i in range(4000)]
@@ -271,6 +271,20 @@ def test_mixing(spark):
     assert mixing.apply_mix(df.limit(0), mixing.plan_mix(df.limit(0), "size", "source", ["doc_id"]), "source", ["doc_id"]).count() == 0
 
 
+def test_mixing_runs_as_many_jobs_on_many_partitions(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(0, 50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    plans, jobs = [], []
+    for parts in (2, 48):
+        with session_conf(spark, spark__sql__shuffle__partitions=parts, spark__sql__adaptive__coalescePartitions__enabled="false"):
+            spark.sparkContext.setJobGroup(f"mix-{parts}", "")
+            plans.append(sorted(map(str, mixing.plan_mix(df, "size", "source", ["doc_id"]).collect())))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"mix-{parts}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plans[0] == plans[1] and 0 < jobs[1] <= jobs[0] + 2
+
+
 def test_packing(spark):
     a = np.array([[1.0, 0, 2], [0, 1, 1]])
     assert np.allclose(a @ packing.nnls(a, np.array([4.0, 3])), [4, 3])
