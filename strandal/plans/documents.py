@@ -148,14 +148,18 @@ CODED = "abcdefghijklmnopqrstuvwxyz .,"
 
 
 def coded_texts(spark, sf_dir):
-    """Every turn through three coders and back: sizes in bytes, and whether the texts return."""
+    """Every turn through three coders and back: sizes in bytes, and whether the texts return.
+
+    Turns are few bytes for much work, and a file's reader deals out bytes: so rows are dealt out first.
+    """
     s = F.regexp_replace(F.lower("text"), "[^a-z .,]", "")
     even = dict.fromkeys(CODED, 1 / len(CODED))
     models = {
         "flat": coding.equiprobable(CODED), "switched": coding.switching([coding.Source(even, 2.0), coding.Source(dict.fromkeys("0123456789", 0.1), 1.0)]),
         "context": coding.learn_model("the cat and the dog and the man are here. " * 20, (ngrams.Alphabet(1, CODED, 1),)),
     }
-    out = _table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"), F.monotonically_increasing_id().alias("place"))
+    out = turns.repartition(spark.sparkContext.defaultParallelism, "place")
     for name, m in models.items():
         out = out.withColumn(f"c_{name}", coding.encode(F.col("s"), m))
     for name, m in models.items():

@@ -1,13 +1,17 @@
 """Trees, options, coders, files and streams, on inputs of our own but where marked as fixed."""
 
+import random
+import sys
+
 import hypothesis.strategies as st
 import pytest
 from hypothesis import given, settings
 from pyspark.sql import functions as F
 
 from strandal.functions import numbers, strings, times
-from strandal.operators import coding, ngrams
+from strandal.operators import coding, lockstep, ngrams
 from strandal.operators.ngrams import Alphabet
+from strandal.plans import documents
 from strandal.sources import dialects, files, options, trees
 from strandal.streaming import count_stream, finding_stream, text_stream
 
@@ -197,3 +201,59 @@ def test_files_and_streams(spark, tmp_path):
     run = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     run.awaitTermination(60)
     assert {r.symbol: r.n for r in spark.table("counts").where("kind = 'char'").collect()}.get("k") == 1
+
+
+@pytest.mark.parametrize("model,chars", [(ONE, " ,.abcde"), (TWO, " ,.abcde0123456789:-"), (FOUR, " ,.abcdeабв0123()-?;"), (coding.order0({"t": 1}), "t"), (coding.order0({"t": 1e6, "a": 1}), "ttttttttta")])
+def test_many_texts_are_coded_as_one(model, chars):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices(chars, k=n))
+    texts = [None, "", "~", text(2000), *[text(rng.choice((1, 2, 9, 60))) for _ in range(60)], *[text(5) + "\U0001f600"] * 2]
+    got = lockstep.encode(texts, model)
+    assert got == [(0, None) if t is None else coding.encode_text(t, model) for t in texts]
+    data = [d if i % 3 else d and bytes(rng.choices(range(256), k=len(d))) for i, (_, d) in enumerate(got)]
+    assert lockstep.decode(data, model) == [(0, None) if d is None else coding.decode_text(d, model) for d in data]
+
+
+def test_many_texts_take_few_calls():
+    """A thousand texts of a batch are coded in turns together, so that one of them costs little beside one coded alone."""
+    texts = [("abcde " * 10)[: 40 + i % 20] for i in range(1000)]
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        data = lockstep.encode(texts, ONE)
+        back = lockstep.decode([d for _, d in data], ONE)
+    finally:
+        sys.setprofile(None)
+    assert [t for _, t in back] == texts and calls < 100 * len(texts)
+
+
+def test_narrow_intervals_keep_all_codes():
+    """In an interval narrower than a row's sum some codes had no place, and coding them never ended."""
+    first, row = [0, 16383, 32769, 65536], [0, *range(1, 31), 16411]
+    width = 32768 - 16383 + 1
+    empty = [c for c in range(30) if width * row[c] // row[-1] == width * row[c + 1] // row[-1]]
+    assert empty and all(a < b for a, b in zip(coding.apart(row, width), coding.apart(row, width)[1:]))
+    model = coding.Model([coding.Part({chr(97 + i): i for i in range(30)}, {}, 30, {"": row})], 0, {})
+    for code in empty:
+        data = coding.encode_codes([(first, 1), (row, code), (row, 30)])
+
+        class Rows(coding.State):
+            def row(self):
+                return first if not self.run else row
+
+            def take(self, code):
+                got = super().take(code)
+                self.run = "x"
+                return got
+
+        assert coding.decode_codes(data, Rows(model)) == chr(97 + 1) + chr(97 + code)
+
+
+def test_turns_are_dealt_out(spark):
+    """One small file is coded by all cores."""
+    assert documents.coded_texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
