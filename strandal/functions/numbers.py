@@ -14,7 +14,7 @@ OK, EMPTY, OVERFLOW, UNDERFLOW = 0, -1, 0x10000, 0x10001
 _LITERAL = "^([+-]?)(?:0[xX]([0-9a-fA-F]+)|([0-9]+)(?:(\\.[0-9]*)?(?:[eE]([+-]?[0-9]+))?))"
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """``f`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -53,12 +53,12 @@ def parse_number(s: Column, low: int, high: int) -> Column:
 
     def of(lit):
         groups = F.array(*[F.regexp_extract(lit, _LITERAL, i) for i in range(6)])
-        return _let(groups, lambda m: F.struct(F.length(F.get(m, 0)).alias("good"), _let(value(m), judged).alias("got")))
+        return let(groups, lambda m: F.struct(F.length(F.get(m, 0)).alias("good"), let(value(m), judged).alias("got")))
 
     empty = F.coalesce(F.length(s), F.lit(0)) == 0
     none = F.lit(None).cast("long" if -(1 << 63) <= low and high < 1 << 63 else "decimal(20,0)")
     return F.when(empty, F.struct(F.lit(EMPTY).alias("status"), none.alias("value"))).otherwise(
-        _let(of(s), lambda x: F.when(x["good"] < F.length(s), F.struct((x["good"] + 1).alias("status"), none.alias("value"))).otherwise(x["got"]))
+        let(of(s), lambda x: F.when(x["good"] < F.length(s), F.struct((x["good"] + 1).alias("status"), none.alias("value"))).otherwise(x["got"]))
     )
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
+
 NODES = "doc_id {id}, node_id int, parent_id int, ordinal int, key string, path string, first boolean, kind string, bool_v boolean, int_v long, dbl_v double, str_v string"
 BAD_LEXEME, BAD_ROOT, BAD_VALUE, BAD_KEY, NO_ASSIGN, TRAILING, UNCLOSED = 13001, 13002, 13003, 13004, 13005, 13007, 13010
 _ESCAPES = {"t": "\t", "r": "\r", "n": "\n", "f": "\f", "b": "\b"}
@@ -259,9 +261,9 @@ def variable_names(text: Column) -> Column:
 
 def pairs(text: Column) -> Column:
     """(status, values) of ``name=value;`` pairs, each of which must end in its separator: else status 1."""
-    whole = text.rlike("^(?:[^=;]+=[^;]*;)*\\s*$")
+    whole = text.rlike("^(?:[^=;]++=[^;]*+;)*+\\s*$")  # possessive: else each pair takes stack
     found = F.transform(F.filter(F.split(text, ";"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), F.substring(x, F.locate("=", x) + 1, F.length(x)).alias("v")))
-    last = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["k"] == x["k"]))
+    last = let(found, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["k"] == x["k"])))
     return F.struct(F.when(whole, 0).otherwise(1).alias("status"), F.map_from_entries(last).alias("values"))
 
 
@@ -297,5 +299,5 @@ def close_variables(variables: dict[str, str], outer: dict[str, str] | None = No
 
 def arguments(line: Column) -> Column:
     """The words of a command line; double quotes keep spaces and are dropped."""
-    words = F.regexp_extract_all(line, F.lit('(?:[^\\s"]|"[^"]*"?)+'), 0)
+    words = F.regexp_extract_all(line, F.lit('(?:[^\\s"]++|"[^"]*+"?+)++'), 0)
     return F.transform(words, lambda w: F.replace(w, F.lit('"'), F.lit("")))

@@ -257,3 +257,22 @@ def test_narrow_intervals_keep_all_codes():
 def test_turns_are_dealt_out(spark):
     """One small file is coded by all cores."""
     assert documents.coded_texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_long_texts_take_no_stack(spark):
+    """Text of 200,000 characters: patterns once called themselves for each, which ended the executor."""
+    long = "aé" * 100_000
+    df = spark.createDataFrame([(long, "k=v;" * 4_000, 'x"y z"' * 30_000)], "t string, p string, w string")
+    whole, cut = (strings.utf8_check(x) for x in (F.encode("t", "UTF-8"), F.concat(F.encode("t", "UTF-8"), F.lit(b"\xff"))))
+    row = df.select(whole["valid"].alias("whole"), cut["valid"].alias("cut"), (cut["text"] == F.col("t")).alias("head"), F.decode(strings.to_code_page(F.col("t")), "US-ASCII").alias("page"),
+                    dialects.pairs(F.col("p"))["status"].alias("pairs"), F.size(dialects.arguments(F.col("w"))).alias("words")).first()
+    assert tuple(row) == (True, False, True, "a?" * 100_000, 0, 1)
+
+
+@pytest.mark.parametrize("page", ["koi8_r", "cp1251", "latin_1", "cp866"])
+def test_code_pages(spark, page):
+    texts = ["", "\0a\x7f\x80é", "Щука © ═ ₽ 😀", "[a-z]^\\\\", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(strings.to_code_page(F.col("t"), page)).collect()
+    assert [None if r[0] is None else bytes(r[0]) for r in got] == [None if t is None else t.encode(page, "replace") for t in texts]
+    data = bytes(range(256))
+    assert spark.range(1).select(strings.from_code_page(F.lit(data), page)).first()[0] == data.decode(page, "replace")
