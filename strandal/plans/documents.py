@@ -129,8 +129,9 @@ OPTIONS = "{options: [{keys: ['n', 'name'], id: 1, help: 'a name', need_value: t
 
 def option_values(spark, sf_dir):
     words = F.array(F.concat(F.lit("-name="), "p_name"), F.lit("/size"), F.col("p_size").cast("string"), F.lit("cm"), F.when(F.col("p_size") % 2 == 0, "-n").otherwise("-bad=1"))
-    got = options.parse_arguments(words, options.read_options(OPTIONS))
-    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(got["errors"], lambda e: F.concat(e["code"].cast("string"), F.lit(":"), e["key"])), ",").alias("errors"), F.array_join(F.element_at(got["last"], 2), ",").alias("sizes"), F.size(got["options"]).cast("long").alias("n"))
+    got = F.col("got")
+    parsed = _table(spark, sf_dir, "part").select("p_partkey", options.parse_arguments(words, options.read_options(OPTIONS)).alias("got"))
+    return parsed.select("p_partkey", F.array_join(F.transform(got["errors"], lambda e: F.concat(e["code"].cast("string"), F.lit(":"), e["key"])), ",").alias("errors"), F.array_join(F.element_at(got["last"], 2), ",").alias("sizes"), F.size(got["options"]).cast("long").alias("n"))
 
 
 def cell_lists(spark, sf_dir):

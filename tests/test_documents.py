@@ -276,3 +276,18 @@ def test_code_pages(spark, page):
     assert [None if r[0] is None else bytes(r[0]) for r in got] == [None if t is None else t.encode(page, "replace") for t in texts]
     data = bytes(range(256))
     assert spark.range(1).select(strings.from_code_page(F.lit(data), page)).first()[0] == data.decode(page, "replace")
+
+
+def test_options_are_parsed_once(spark):
+    """What a lambda names is computed for each element: the lists of a row are bound, so that many words stay few steps."""
+    declared = options.read_options("{options:[{keys:['n'],id:1,need_value:true},{keys:['s'],id:2}]}")
+    words = ["free", *[w for i in range(60) for w in (f"-n={i}", "/s", str(i), "", "t")], "-n", "-x=1"]
+    df = spark.createDataFrame([(words,), ([],), (None,)], "w array<string>")
+    out = df.select(options.parse_arguments(F.col("w"), declared).alias("got"))
+    got, empty, none = (r.got for r in out.collect())
+    assert [tuple(e) for e in got.errors] == [(options.NO_VALUE, "n"), (options.UNKNOWN, "x")] and len(got.options) == 122
+    assert tuple(got.options[0]) == (None, None, ["free"]) and got.last == {1: [], 2: ["59", "t"]}
+    assert empty.options == [] and not none.options
+    assert out._jdf.queryExecution().analyzed().toString().count("split_part") == 1
+    plan = documents.option_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-name=") == 1
