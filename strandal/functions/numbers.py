@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -96,30 +98,31 @@ def interval_relation(left: Column, left_size: Column, right: Column, right_size
 
 def hex_runs(s: Column) -> Column:
     """Bytes of runs of 2, 4 or 8 hexadecimal digits, each little-endian; ``0x`` before a run is dropped. Null with other runs."""
-    runs = F.regexp_extract_all(s, F.lit("(?:0x)?([0-9A-Fa-f]+)"), 1)
     pair = lambda r: F.array_join(F.reverse(F.regexp_extract_all(r, F.lit("(..)"), 1)), "")
-    good = F.forall(runs, lambda r: F.length(r).isin(2, 4, 8))
-    return F.when(good, F.unhex(F.array_join(F.transform(runs, pair), "")))
-
-
-def _places() -> Column:
-    return F.array(*[F.lit(1 << j) for j in range(8)])
+    good = lambda runs: F.forall(runs, lambda r: F.length(r).isin(2, 4, 8))
+    return let(F.regexp_extract_all(s, F.lit("(?:0x)?([0-9A-Fa-f]+)"), 1), lambda runs: F.when(good(runs), F.unhex(F.array_join(F.transform(runs, pair), ""))))
 
 
 def pack_bits(bits: Column) -> Column:
     """Bytes of an array of 0 and 1, the first bit lowest."""
-    n = F.size(bits)
-    byte = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda a, j: a + F.coalesce(F.get(bits, i * 8 + j), F.lit(0)) * F.get(_places(), j))
-    whole = F.transform(F.sequence(F.lit(0), F.ceil(n / 8).cast("int") - 1), lambda i: F.lpad(F.hex(byte(i).cast("long")), 2, "0"))
-    return F.when(n > 0, F.unhex(F.array_join(whole, ""))).otherwise(F.lit(b""))
+
+    def whole(bits):
+        byte = lambda i: reduce(add, (F.coalesce(F.get(bits, i * 8 + j), F.lit(0)) * (1 << j) for j in range(8)))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(bits) / 8).cast("int") - 1), lambda i: F.lpad(F.hex(byte(i).cast("long")), 2, "0"))
+
+    # a lambda computes what it names for each element anew, so the bits are bound first
+    return let(bits, lambda b: F.when(F.size(b) > 0, F.unhex(F.array_join(whole(b), ""))).otherwise(F.lit(b"")))
 
 
 def unpack_bits(data: Column) -> Column:
     """The bits of bytes, the lowest first."""
-    text = F.hex(data)
-    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    bits = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.pmod(F.floor(byte(i) / F.get(_places(), j)), F.lit(2))).cast("int")))
-    return F.when(F.octet_length(data) > 0, F.flatten(bits)).otherwise(F.array().cast("array<int>"))
+
+    def bits(text):
+        byte = lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        each = lambda i: let(byte(i), lambda v: F.array(*[F.shiftright(v, j).bitwiseAND(1) for j in range(8)]))
+        return F.when(F.length(text) > 0, F.flatten(F.transform(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), each))).otherwise(F.array().cast("array<int>"))
+
+    return let(F.hex(data), bits)
 
 
 def bit_set(members: Column) -> Column:
@@ -129,12 +132,12 @@ def bit_set(members: Column) -> Column:
 
 def ip_text(address: Column) -> Column:
     """Dotted decimal text of 4 bytes in storage order."""
-    return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.conv(F.substring(F.hex(address), 2 * i + 1, F.lit(2)), 16, 10)), ".")
+    return F.concat_ws(".", *[F.conv(F.substring(F.hex(address), 2 * i + 1, 2), 16, 10) for i in range(4)])
 
 
 def mac_text(address: Column) -> Column:
     """Colon-separated text of 6 bytes in storage order."""
-    return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(6)]), lambda i: F.lower(F.substring(F.hex(address), 2 * i + 1, F.lit(2)))), ":")
+    return F.concat_ws(":", *[F.lower(F.substring(F.hex(address), 2 * i + 1, 2)) for i in range(6)])
 
 
 def narrow(x: Column, low: int, high: int) -> Column:

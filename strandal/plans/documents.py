@@ -57,9 +57,10 @@ def large_numbers(spark, sf_dir):
 
 def packed_bits(spark, sf_dir):
     bits = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.pmod(F.floor(F.col("c_custkey") / F.pow(F.lit(2.0), i.cast("double"))), F.lit(2)).cast("int"))
-    data = numbers.pack_bits(bits)
+    data = F.col("data")
     back = F.array_join(F.slice(numbers.unpack_bits(data), 1, 11), "")
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.hex(data)).alias("packed"), back.alias("bits"), numbers.ip_text(F.unhex(F.lpad(F.hex("c_custkey"), 8, "0"))).alias("address"), numbers.mac_text(F.unhex(F.lpad(F.hex("c_custkey"), 12, "0"))).alias("mac"), F.hex(numbers.hex_runs(F.concat(F.lit("0x"), F.lpad(F.hex("c_custkey"), 8, "0"), F.lit(" 7f")))).alias("runs"))
+    packed = _table(spark, sf_dir, "customer").select("c_custkey", numbers.pack_bits(bits).alias("data"))
+    return packed.select("c_custkey", F.lower(F.hex(data)).alias("packed"), back.alias("bits"), numbers.ip_text(F.unhex(F.lpad(F.hex("c_custkey"), 8, "0"))).alias("address"), numbers.mac_text(F.unhex(F.lpad(F.hex("c_custkey"), 12, "0"))).alias("mac"), F.hex(numbers.hex_runs(F.concat(F.lit("0x"), F.lpad(F.hex("c_custkey"), 8, "0"), F.lit(" 7f")))).alias("runs"))
 
 
 def digest_chains(spark, sf_dir):

@@ -291,3 +291,15 @@ def test_options_are_parsed_once(spark):
     assert out._jdf.queryExecution().analyzed().toString().count("split_part") == 1
     plan = documents.option_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("-name=") == 1
+
+
+def test_bits_are_computed_once(spark):
+    """A lambda computes what it names for each element: the bits before stand in the plan once."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.pmod(F.floor(F.col("id") / F.pow(F.lit(2.0), i.cast("double"))), F.lit(2)).cast("int"))
+    out = spark.range(5, 2000, 700).select("id", numbers.unpack_bits(numbers.pack_bits(bits)).alias("b"))
+    assert all(r.b == [r.id >> i & 1 if i < 11 else 0 for i in range(16)] for r in out.collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().upper().count("POWER(") == 1
+    plan = documents.packed_bits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert plan.count("POWER(") == 1
+    rows = spark.createDataFrame([([],), (None,), ([1, None, 1],), ([1] * 8 + [0, 1],)], "b array<int>").select(numbers.pack_bits(F.col("b"))).collect()
+    assert [bytes(r[0]) if r[0] is not None else None for r in rows] == [b"", b"", b"\x05", b"\xff\x02"]
