@@ -136,12 +136,14 @@ def json_kinds(spark, sf_dir):
 
 
 def loose_config(spark, sf_dir):
-    """A loose-dialect text per part: comments, bare names, ``=``, ``;``, hexadecimal numbers."""
+    """A loose-dialect text per part: comments, bare names, ``=``, ``;``, hexadecimal numbers.
+
+    A part's leaves are picked in the task that reads its text: node tables would be sorted and shuffled for that.
+    """
     t = _table(spark, sf_dir, "part")
     text = F.concat(F.lit("{ # part\n name = '"), "p_name", F.lit("'; size: 0x"), F.hex(F.col("p_size").cast("long")), F.lit(", tags [a; b], price = "), F.printf(F.lit("%.2f"), F.col("p_retailprice")), F.lit(" }"))
-    nodes = dialects.read_nodes(t.select("p_partkey", text.alias("text")), "p_partkey", "text", loose=True)
-    leaf = lambda p, c: F.max(F.when(F.col("path") == p, F.col(c)))
-    return nodes.groupBy(F.col("doc_id").alias("p_partkey")).agg(leaf("name", "str_v").alias("name"), leaf("size", "int_v").alias("size"), leaf("tags[1]", "str_v").alias("tag"), leaf("price", "dbl_v").alias("price"), F.count("*").alias("n_nodes"))
+    leaves = {"name": ("name", "string"), "size": ("size", "long"), "tag": ("tags[1]", "string"), "price": ("price", "double")}
+    return dialects.read_leaves(t.select("p_partkey", text.alias("text")), "p_partkey", "text", leaves, loose=True).withColumnRenamed("doc_id", "p_partkey")
 
 
 def tree_differences(spark, sf_dir):

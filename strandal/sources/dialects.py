@@ -186,6 +186,35 @@ def read_nodes(df: DataFrame, key: str, text: str, loose: bool = False, open_end
     return rows.mapInArrow(lambda it: _nodes(it, loose, open_end), NODES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
+def read_leaves(df: DataFrame, key: str, text: str, leaves: dict[str, tuple[str, str]], loose: bool = False, open_end: bool = False) -> DataFrame:
+    """One row for each document: (doc_id, a column for each leaf, n_nodes), in the step that reads it.
+
+    ``leaves`` has by name the exact path of a node and its type: ``boolean``, ``long``, ``double`` or ``string``. Null where the
+    path is missing or of another type; of several nodes at one path the greatest value, as ``max`` over the node table has it.
+    """
+    places = {"boolean": 7, "long": 8, "double": 9, "string": 10}
+    wanted = [(path, places[kind]) for path, kind in leaves.values()]
+    types = [pa.bool_(), pa.int64(), pa.float64(), pa.string()]
+
+    def each(batches):
+        for batch in batches:
+            found: list[list] = [[] for _ in wanted]
+            counts = []
+            for value in batch.column(1):
+                try:
+                    rows = Reader(value.as_py() or "", loose, open_end).read()
+                except Malformed as e:
+                    rows = [(0, None, 0, None, "", True, "error", None, e.code, None, e.place)]
+                for (path, i), out in zip(wanted, found):
+                    out.append(max((r[i] for r in rows if r[4] == path and r[i] is not None), default=None))
+                counts.append(len(rows))
+            columns = [pa.array(c, types[i - 7]) for (_, i), c in zip(wanted, found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(counts, pa.int64())], names=["doc_id", *leaves, "n_nodes"])
+
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(each, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"`{n}` {kind}" for n, (_, kind) in leaves.items()], "n_nodes long"]))
+
+
 def get_path(nodes: DataFrame, path: str) -> DataFrame:
     """(doc_id, value) at a ``/`` path of keys, ignoring case: at each step the first node of that name, or nothing.
 

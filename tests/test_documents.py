@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandal.functions import numbers, strings, times
 from strandal.operators import coding, lockstep, ngrams
 from strandal.operators.ngrams import Alphabet
-from strandal.plans import documents
+from strandal.plans import documents, registry
 from strandal.sources import dialects, files, options, trees
 from strandal.streaming import count_stream, finding_stream, text_stream
 
@@ -303,3 +303,13 @@ def test_bits_are_computed_once(spark):
     assert plan.count("POWER(") == 1
     rows = spark.createDataFrame([([],), (None,), ([1, None, 1],), ([1] * 8 + [0, 1],)], "b array<int>").select(numbers.pack_bits(F.col("b"))).collect()
     assert [bytes(r[0]) if r[0] is not None else None for r in rows] == [b"", b"", b"\x05", b"\xff\x02"]
+
+
+def test_leaves_are_read_without_a_shuffle(spark):
+    """One row for each document, whatever its key, as SQL has it; the node table's groups were sorted and shuffled."""
+    plan = registry.loose_config(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Aggregate"))
+    texts = ["{a: 1, b [x; 'y'], a: 3}", "{a: 2.5}", "{a: 'q', A: 7}", None, "{a:", "{}"]
+    df = spark.createDataFrame([(1, t) for t in texts] + [(None, "{a: 4}")], "id long, t string")
+    out = dialects.read_leaves(df, "id", "t", {"n": ("a", "long"), "s": ("b[1]", "string"), "d": ("a", "double")}, loose=True).collect()
+    assert [tuple(r) for r in out] == [(1, 3, "y", None, 6), (1, None, None, 2.5, 2), (1, None, None, None, 3), (1, None, None, None, 1), (1, None, None, None, 1), (1, None, None, None, 1), (None, 4, None, None, 2)]
